@@ -5,21 +5,37 @@ Each query applies its operator with production parameters to the whole of its t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from attesta.llm.ngram_jaccard import jaccard_classes
+from attesta.llm.packing import pack
+from attesta.llm.rans import token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as one token stream in windows of 4096."""
+    pieces = pack(_table(spark, sf_dir, "documents"), window=4096, end_id=2)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded_length")
+
+
+def op7_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written to rANS token files in order of id and read back."""
+    read = token_files(_table(spark, sf_dir, "documents"), end_id=1)
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets have Jaccard 0.9 or more, all pairs, exact."""
     return jaccard_classes(_table(spark, sf_dir, "documents"), n=3, threshold="0.9")
 
 
 QUERIES = {
+    "op6_concatenate_and_cut": op6_concatenate_and_cut,
+    "op7_rans_token_files": op7_rans_token_files,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 ORACLE_SQL: dict[str, str] = {}
