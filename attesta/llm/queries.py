@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from attesta.llm.ngram_jaccard import jaccard_classes
 from attesta.llm.packing import pack
+from attesta.llm.quality_fm import quality
 from attesta.llm.rans import token_files
 
 
@@ -28,6 +29,11 @@ def op7_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, trained on labels that are not held out."""
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), max_train=5000)
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets have Jaccard 0.9 or more, all pairs, exact."""
     return jaccard_classes(_table(spark, sf_dir, "documents"), n=3, threshold="0.9")
@@ -36,6 +42,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op6_concatenate_and_cut": op6_concatenate_and_cut,
     "op7_rans_token_files": op7_rans_token_files,
+    "op9_factorisation_machine": op9_factorisation_machine,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 ORACLE_SQL: dict[str, str] = {}
