@@ -7,16 +7,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from attesta.llm.fingerprints import compare_with_next
 from attesta.llm.ngram_jaccard import jaccard_classes
 from attesta.llm.packing import pack
 from attesta.llm.quality_fm import quality
 from attesta.llm.rans import token_files
+from attesta.llm.secret_ledger import BASE_KINDS, BlobLedger, span_text
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _is(kind: str):
+    return lambda span: span["kind"] == kind
+
+
+def op3_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents, each distinct text scanned once with a new ledger."""
+    found = BlobLedger(spark).scan(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
+    counts = [F.size(F.filter("spans", _is(kind))).cast("long").alias(f"n_{kind}") for kind in BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"), "blob")
+
+
+def op4_content_defined_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return compare_with_next(_table(spark, sf_dir, "documents"))
+
+
 def op6_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as one token stream in windows of 4096."""
     pieces = pack(_table(spark, sf_dir, "documents"), window=4096, end_id=2)
@@ -40,6 +59,8 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_blob_ledger": op3_blob_ledger,
+    "op4_content_defined_chunks": op4_content_defined_chunks,
     "op6_concatenate_and_cut": op6_concatenate_and_cut,
     "op7_rans_token_files": op7_rans_token_files,
     "op9_factorisation_machine": op9_factorisation_machine,
