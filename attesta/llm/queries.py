@@ -5,9 +5,10 @@ Each query applies its operator with production parameters to the whole of its t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from attesta.llm.fingerprints import compare_with_next
+from attesta.llm.mixing import mix_rows
 from attesta.llm.ngram_jaccard import jaccard_classes
 from attesta.llm.packing import pack
 from attesta.llm.quality_fm import quality
@@ -36,6 +37,61 @@ def op4_content_defined_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(_table(spark, sf_dir, "documents"))
 
 
+def source_domain() -> Column:
+    """Domains of the synthetic sources: src0 to src9 web, to src14 books, to src19 code."""
+    number = F.regexp_extract("source", "^src([0-9]{1,3})$", 1)
+    n = F.when(number != "", number.cast("int"))
+    return F.when(n < 10, "web").when(n < 15, "books").when(n < 20, "code").otherwise("other")
+
+
+#: Target weights by path; 1 where none is given.
+MIX_WEIGHTS = {("web",): 5, ("books",): 3, ("code",): 2, ("web", "en"): 6, ("web", "de"): 2, ("web", "fr"): 2, ("books", "en"): 2, ("web", "en", "src0"): 4}
+MIX_PERCENT, MIX_EPOCHS, MIX_SEED = 60, 2, 17
+
+
+def op5_hierarchical_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn to the target weights, 60 per cent of all tokens, at most two epochs of any source."""
+    return mix_rows(_table(spark, sf_dir, "documents"), source_domain(), MIX_WEIGHTS, MIX_PERCENT, MIX_EPOCHS, MIX_SEED)
+
+
+def _mix_sql() -> str:
+    """The same in SQL: one window over each leaf instead of buckets."""
+
+    def level(name: str, keys: list[str], parents: list[str], given: str) -> str:
+        by = f"partition by {', '.join(parents)}" if parents else ""
+        weight = "case " + " ".join(f"when {' and '.join(f"{k} = '{v}'" for k, v in zip(keys, path))} then {w}" for path, w in MIX_WEIGHTS.items() if len(path) == len(keys)) + " else 1 end"
+        if len(keys) == 3:
+            weight = "case when domain = 'web' and lang = 'en' and source = 'src0' then 4 else 1 end"
+        order = f"({by} order by capacity / weight, {keys[-1]}"
+        return f"""
+  {name}0 as (select {', '.join(keys)}, cast(sum(available) * {MIX_EPOCHS} as bigint) as capacity, cast(sum(available) as bigint) as available, {weight} as weight from leaves group by {', '.join(keys)}),
+  {name}1 as (select n.*, {given} as given from {name}0 n {f"join {parents and 'l' + str(len(parents))} p using ({', '.join(parents)})" if parents else ''}),
+  {name}2 as (select *, sum(capacity) over {order} rows between unbounded preceding and current row) - capacity as before, sum(weight) over {order} rows between current row and unbounded following) as rest from {name}1),
+  {name}3 as (select *, (given - before) * weight >= capacity * rest as full_ from {name}2),
+  {name}4 as (select *, given - sum(case when full_ then capacity else 0 end) over ({by}) as spare, sum(case when full_ then 0 else weight end) over ({by}) as open from {name}3),
+  {name}5 as (select *, case when full_ then capacity else spare * weight // open end as part from {name}4),
+  {name}6 as (select *, given - sum(part) over ({by}) as left_, sum(case when full_ then 0 else 1 end) over ({by} order by {keys[-1]} rows between unbounded preceding and current row) as rank_ from {name}5),
+  l{len(keys)} as (select {', '.join(keys)}, cast(part + case when not full_ and rank_ <= left_ then 1 else 0 end as bigint) as allotted from {name}6),"""
+
+    keys = ["domain", "lang", "source"]
+    number = "try_cast(regexp_extract(source, '^src([0-9]{1,3})$', 1) as int)"
+    order = "order by key, doc_id rows between unbounded preceding and current row"
+    return f"""
+with rows_ as (select doc_id, case when {number} < 10 then 'web' when {number} < 15 then 'books' when {number} < 20 then 'code' else 'other' end as domain,
+    coalesce(lang, '(none)') as lang, coalesce(source, '(none)') as source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as n_tokens, md5(coalesce(text, '')) as digest from documents),
+  live as (select * from rows_ where n_tokens > 0),
+  leaves as (select domain, lang, source, sum(n_tokens) as available from live group by all),
+  {level('a', keys[:1], [], f'least(sum(available) over () * {MIX_PERCENT} // 100, sum(capacity) over ())')}
+  {level('b', keys[:2], keys[:1], 'p.allotted')}
+  {level('c', keys, keys[:2], 'p.allotted')}
+  leaf as (select domain, lang, source, cast(l3.allotted // available as bigint) as epochs, cast(l3.allotted % available as bigint) as rest from leaves join l3 using (domain, lang, source)),
+  keyed as (select live.*, epochs, rest, md5('{MIX_SEED}|' || epochs || '|' || coalesce(cast(doc_id as varchar), 'null') || '|' || digest) as key from live join leaf using (domain, lang, source)),
+  summed as (select *, sum(n_tokens) over (partition by domain, lang, source {order}) - n_tokens as before from keyed),
+  picked as (select *, unnest(range(0, epochs + 1)) as epoch from summed)
+select doc_id, domain, lang, source, cast(epoch as bigint) as epoch, n_tokens, cast(case when epoch < epochs then n_tokens else least(n_tokens, rest - before) end as bigint) as taken
+from picked where epoch < epochs or before < rest"""
+
+
 def op6_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as one token stream in windows of 4096."""
     pieces = pack(_table(spark, sf_dir, "documents"), window=4096, end_id=2)
@@ -61,9 +117,12 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_blob_ledger": op3_blob_ledger,
     "op4_content_defined_chunks": op4_content_defined_chunks,
+    "op5_hierarchical_budget": op5_hierarchical_budget,
     "op6_concatenate_and_cut": op6_concatenate_and_cut,
     "op7_rans_token_files": op7_rans_token_files,
     "op9_factorisation_machine": op9_factorisation_machine,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_hierarchical_budget": _mix_sql(),
+}
