@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from attesta.llm.fingerprints import compare_with_next
+from attesta.llm.licenses import TEMPLATES, bigrams, scan_licenses
 from attesta.llm.mixing import mix_rows
 from attesta.llm.ngram_jaccard import jaccard_classes
 from attesta.llm.packing import pack
@@ -104,6 +105,27 @@ def op7_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in all documents, Dice 0.8 or more over word bigrams."""
+    return scan_licenses(_table(spark, sf_dir, "documents"), TEMPLATES, "0.8")
+
+
+def _license_sql() -> str:
+    """The same without any pruning."""
+    rows = ", ".join(f"('{name}', [{', '.join(f"'{g}'" for g in bigrams(text))}])" for name, text in TEMPLATES.items())
+    return f"""
+with templates(license, grams) as (values {rows}),
+  whole as (select row_number() over () as row_id, doc_id, coalesce(text, '') as text from documents),
+  lines as (select row_id, string_split(text, chr(10)) as l, text from whole),
+  segments as (select row_id, unnest(case when len(l) > 1 then list_append(l, text) else l end) as s, unnest(range(0, case when len(l) > 1 then len(l) + 1 else 1 end)) as segment from lines),
+  words as (select row_id, segment, list_filter(string_split(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '') as w from segments),
+  grams as (select row_id, segment, list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) as g from words where len(w) > 1),
+  scores as (select row_id, segment, license, 2.0 * len(list_intersect(g, grams)) / (len(g) + len(grams)) as dice from grams g join templates t on list_has_any(g.g, t.grams)),
+  hits as (select *, row_number() over (partition by row_id order by dice desc, segment, license) as place, count(*) over (partition by row_id) as n from scores where dice >= 0.8)
+select doc_id, cast(coalesce(n, 0) as bigint) as n_hits, license, cast(dice as double) as dice, cast(segment as bigint) as segment
+from whole left join (select * from hits where place = 1) using (row_id)"""
+
+
 def op9_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents, trained on labels that are not held out."""
     return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), max_train=5000)
@@ -120,9 +142,11 @@ QUERIES = {
     "op5_hierarchical_budget": op5_hierarchical_budget,
     "op6_concatenate_and_cut": op6_concatenate_and_cut,
     "op7_rans_token_files": op7_rans_token_files,
+    "op8_license_dice": op8_license_dice,
     "op9_factorisation_machine": op9_factorisation_machine,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_hierarchical_budget": _mix_sql(),
+    "op8_license_dice": _license_sql(),
 }
