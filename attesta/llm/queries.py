@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from attesta.llm.fingerprints import compare_with_next
 from attesta.llm.licenses import TEMPLATES, bigrams, scan_licenses
+from attesta.llm.masked_lm import pseudo_likelihood
 from attesta.llm.mixing import mix_rows
 from attesta.llm.ngram_jaccard import jaccard_classes
 from attesta.llm.packing import pack
@@ -21,6 +22,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pseudo-log-likelihood of all documents under a network trained on them."""
+    return pseudo_likelihood(_table(spark, sf_dir, "documents"))
+
+
 def _is(kind: str):
     return lambda span: span["kind"] == kind
 
@@ -137,6 +143,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_masked_pseudo_likelihood": op2_masked_pseudo_likelihood,
     "op3_blob_ledger": op3_blob_ledger,
     "op4_content_defined_chunks": op4_content_defined_chunks,
     "op5_hierarchical_budget": op5_hierarchical_budget,
