@@ -12,6 +12,7 @@ from attesta.llm.licenses import TEMPLATES, bigrams, scan_licenses
 from attesta.llm.masked_lm import pseudo_likelihood
 from attesta.llm.mixing import mix_rows
 from attesta.llm.ngram_jaccard import jaccard_classes
+from attesta.llm.nn_descent import near_duplicates
 from attesta.llm.packing import pack
 from attesta.llm.quality_fm import quality
 from attesta.llm.rans import token_files
@@ -22,6 +23,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors, cosine 0.9 or more."""
+    return near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op2_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pseudo-log-likelihood of all documents under a network trained on them."""
     return pseudo_likelihood(_table(spark, sf_dir, "documents"))
@@ -143,6 +149,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_nn_descent": op1_nn_descent,
     "op2_masked_pseudo_likelihood": op2_masked_pseudo_likelihood,
     "op3_blob_ledger": op3_blob_ledger,
     "op4_content_defined_chunks": op4_content_defined_chunks,
