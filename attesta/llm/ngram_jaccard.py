@@ -131,7 +131,10 @@ def _sets(n: int):
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (sig, node) in order of sig -> (hub, node) for two hubs of each run; a run may span batches, so its hubs go along."""
+    """Rows (sig, node) in that order -> (hub, node) for each run's smallest node, and its last one seen; a run may span batches, so its hubs go along.
+
+    The order makes hubs agree between runs: the smallest node of a group of near copies leads most of its runs.
+    """
     last, low, pick = None, 0, 0
     for batch in batches:
         sig, node = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
@@ -265,7 +268,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # 2. routing: documents that share a segment signature
     reps = full.join(classes.select("d1", "d2", "size", F.col("rep").alias("node")).distinct(), ["node", "d1", "d2", "size"], "left_semi")
-    routed = reps.select(F.explode("sigs").alias("sig"), "node").repartition("sig").sortWithinPartitions("sig")
+    routed = reps.select(F.explode("sigs").alias("sig"), "node").repartition("sig").sortWithinPartitions("sig", "node")
     stars = materialise(routed.mapInArrow(_stars, "a long, b long").distinct(), "jaccard-candidates")
 
     # 3. hubs
@@ -292,17 +295,20 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+#: Ids to drop are sent to all executors up to this many (8 bytes each); beyond it they are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The documents of ``docs`` less all but the smallest id of each component; columns as they came.
 
-    Of rows that repeat the kept id one stays (the one with the smallest text); rows with a null id
-    all stay.
+    Of rows that repeat a kept id one stays (one with the smallest text); rows with a null id all stay.
     """
-    kept = jaccard_classes(docs, **options).where("component_id = doc_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    one = docs.withColumn("_text", F.coalesce("text", F.lit("")))
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    once = docs.join(repeated, "doc_id", "left_anti").join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    several = one.join(repeated, "doc_id", "left_semi").join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    several = several.groupBy("doc_id").agg(*[F.min_by(c, "_text").alias(c) for c in docs.columns if c != "doc_id"])
-    nulls = docs.where("doc_id is null")
-    return once.select(*docs.columns).unionByName(several.select(*docs.columns)).unionByName(nulls.select(*docs.columns))
+    dropped = materialise(jaccard_classes(docs, **options).where("component_id <> doc_id").select("doc_id").distinct(), "jaccard-dropped")
+    left = docs.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped, "doc_id", "left_anti").select(*docs.columns)
+    repeated = materialise(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id"), "jaccard-repeated")
+    if repeated.isEmpty():
+        return left
+    once = left.join(repeated, "doc_id", "left_anti").select(*docs.columns)
+    several = left.join(repeated, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("_id")).agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("_row"))
+    return once.unionByName(several.select("_row.*"))
