@@ -16,7 +16,12 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
     null end are ignored; an empty edge list gives an empty table. The type of a node is kept.
     """
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
-    both = materialise(pairs.union(pairs.select("v", "u")).distinct(), "cc-edges")
+    # each node keeps the edge to its smallest smaller neighbour and ties its others to that one: many edges fall together
+    down = pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    low = down.groupBy("v").agg(F.min("u").alias("m"))
+    tied = down.join(low, "v").select(F.explode(F.array(F.struct(F.col("m").alias("u"), F.col("v")), F.struct(F.col("m").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v")
+    alone = pairs.where("u = v").select("u", "v")
+    both = materialise(tied.union(tied.select("v", "u")).union(alone).distinct(), "cc-edges")
     labels = materialise(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")), "cc-labels")
     for _ in range(max_rounds):
         told = both.join(labels, both["v"] == labels["node"]).groupBy(F.col("u").alias("n1")).agg(F.min("label").alias("heard"))
