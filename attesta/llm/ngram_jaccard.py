@@ -10,12 +10,14 @@ are built and searched block by block; what decides which documents meet in a bl
    most H members, so if the hash space is dealt into H + 1 segments or more, one segment at least
    is equal in both (pigeonhole). Documents that share a segment signature form a candidate
    cluster. A segment holds some ten shingles, so common passages do not make documents meet.
-3. *Hubs.* Within a signature every document is verified against one hub, for two choices of hub.
-   This joins groups of near copies in linear work, however large they are.
-4. *Search.* Only clusters that still hold several components are searched: their sets are dealt
-   into blocks and each pair of blocks runs DivideSkip: the shorter lists are merged, candidates
-   are then probed in the longer ones by binary search, and those that cannot reach T are let go.
-   Documents already in one component are not compared again.
+3. *Search.* The documents of a cluster are one block: their sets are indexed and each is looked up
+   by DivideSkip. The shorter lists are merged, candidates are then probed in the longer ones by
+   binary search, and those that cannot reach T are let go. Documents already in one component are
+   not compared again.
+4. *Large clusters.* A cluster of more than ``block`` documents is first verified against the hubs of
+   its signatures, which joins groups of near copies in linear work, however large they are. If
+   several components are left, its documents are dealt into blocks and each pair of blocks is
+   searched as above.
 """
 
 from __future__ import annotations
@@ -59,20 +61,23 @@ def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
                 yield h[:0]
 
 
-def required(a: int, b: int, t: Fraction) -> int:
-    """Least overlap of sets of sizes a and b with Jaccard >= t."""
-    return ceil(t * (a + b) / (1 + t))
+def required(a, b, t: Fraction):
+    """Least overlap of sets of sizes a and b (numbers or arrays) with Jaccard >= t: ceil(t (a + b) / (1 + t))."""
+    return -(-t.numerator * (a + b) // (t.numerator + t.denominator))
 
 
 class Bands:
-    """Size bands and the number of segments in each."""
+    """Size bands of ratio 1 / t**3 and the number of segments in each.
+
+    A set routes by its own band, and by the next one too if a similar set may lie there.
+    """
 
     def __init__(self, t: Fraction, largest: int = 1 << 40):
-        self.edges = [1]
+        self.t, self.edges = t, [1]
         while self.edges[-1] <= largest:
-            self.edges.append(max(self.edges[-1] + 1, ceil(self.edges[-1] / t)))
+            self.edges.append(max(ceil(self.edges[-1] / t), int(self.edges[-1] / float(t) ** 3)) + 1)
         self.edges_np = np.array(self.edges, np.int64)
-        # sizes met in band i are those of bands i - 1 and i, all below edges[i + 1]
+        # what meets in band i are sizes below edges[i + 1]
         self.differ = [int((1 - t) * 2 * (hi - 1) / (1 + t)) for hi in self.edges[1:]]
         self.segments = [d + 1 + (2 if d >= 8 else 0) for d in self.differ]
 
@@ -81,11 +86,11 @@ class Bands:
 
 
 def signatures(members: np.ndarray, bands: Bands) -> np.ndarray:
-    """Segment signatures of one set, for its own band and the next one."""
+    """Segment signatures of one set, for its own band and, near its upper edge, the next one."""
     out = []
     band = bands.of(len(members))
     mixed = mix(members + _K[1])
-    for i in (band, band + 1):
+    for i in (band, band + 1) if len(members) / bands.t >= bands.edges[band + 1] else (band,):
         k = bands.segments[i]
         segment = ((members >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32) if k > 1 else np.zeros(len(members), np.uint64)
         # members are sorted, so segments are runs
@@ -131,27 +136,24 @@ def _sets(n: int):
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (sig, node) in that order -> (hub, node) for each run's smallest node, and its last one seen; a run may span batches, so its hubs go along.
+    """Rows (sig, node) in that order -> (hub, node), the hub being the smallest node of a signature; a run may span batches, so its hub goes along.
 
-    The order makes hubs agree between runs: the smallest node of a group of near copies leads most of its runs.
+    The smallest node of a group of near copies leads most of the group's signatures, so hubs are few.
     """
-    last, low, pick = None, 0, 0
+    last, low = None, 0
     for batch in batches:
         sig, node = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
         if not len(sig):
             continue
-        head = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-        run = np.cumsum(np.r_[False, sig[1:] != sig[:-1]])
-        lows, picks = node[head].copy(), node[np.r_[head[1:], len(sig)] - 1].copy()
+        new = np.r_[True, sig[1:] != sig[:-1]]
+        lows = node[new].copy()
         if last is not None and sig[0] == last:
-            picks[0], lows[0] = pick, low
-        last, low, pick = sig[-1], lows[-1], picks[-1]
-        hubs = np.concatenate([lows[run], picks[run]])
-        others = np.concatenate([node, node])
-        keep = hubs != others
-        a, b = np.minimum(hubs[keep], others[keep]), np.maximum(hubs[keep], others[keep])
-        if len(a):
-            pairs = np.unique(np.stack([a, b], 1), axis=0)
+            lows[0] = low
+        last, low = sig[-1], lows[-1]
+        hubs = lows[np.cumsum(new) - 1]
+        keep = hubs != node
+        if keep.any():
+            pairs = np.unique(np.stack([hubs[keep], node[keep]], 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
@@ -196,7 +198,7 @@ class InvertedIndex:
         ones are merged by counting, and what can still reach T is probed in the long lists.
         """
         q = len(query)
-        fits = (self.sizes >= ceil(t * q)) & (self.sizes <= int(q / t)) & (self.sizes > 0)
+        fits = (self.sizes * t.denominator >= q * t.numerator) & (self.sizes * t.numerator <= q * t.denominator) & (self.sizes > 0)
         if skip is not None:
             fits &= ~skip
         if not q or not fits.any():
@@ -213,7 +215,7 @@ class InvertedIndex:
         short, long = at[: len(at) - aside], at[len(at) - aside :]
         merged = np.concatenate([self.owner[self.first[i] : self.first[i + 1]] for i in short])
         counts = np.bincount(merged, minlength=len(self.sizes))
-        needed = np.array([required(q, int(s), t) for s in np.unique(self.sizes)])[np.searchsorted(np.unique(self.sizes), self.sizes)]
+        needed = required(q, self.sizes, t)
         alive = np.flatnonzero(fits & (counts > 0) & (counts + aside >= needed))
         for done, i in enumerate(long):
             if not len(alive):
@@ -225,29 +227,66 @@ class InvertedIndex:
         return alive[counts[alive] >= needed[alive]]
 
 
-def _search_blocks(t: Fraction):
-    """One pair of blocks of a cluster -> links that join components, at most one less than the documents."""
+def search_links(left: list[np.ndarray], right: list[np.ndarray], left_parts: np.ndarray, right_parts: np.ndarray, t: Fraction) -> list[tuple[int, int]]:
+    """Links (left, right) that join components, at most one less than the sets; parts are component numbers, equal ones are not compared."""
+    index, parts = InvertedIndex(left), left_parts.copy()
+    names, out = right_parts.copy(), []
+    for k, members in enumerate(right):
+        while len(found := index.search(members, t, parts == names[k])):
+            out.append((int(found[0]), k))
+            old = parts[found[0]]  # the two components are one from here on
+            parts[parts == old] = names[k]
+            names[names == old] = names[k]
+    return out
+
+
+def _search_pairs(t: Fraction):
+    """One pair of blocks of a large cluster."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         if right.empty:  # a block against itself
             right = left
-        sets = [np.frombuffer(x, np.uint64) for x in left["members"]]
-        index, component = InvertedIndex(sets), left["component"].to_numpy().copy()
-        nodes, out = left["node"].to_numpy(), []
-        other = dict(zip(right["node"], right["component"]))
-        for node, members in zip(right["node"], right["members"]):
-            own = other[node]
-            while len(found := index.search(np.frombuffer(members, np.uint64), t, component == own)):
-                out.append((int(nodes[found[0]]), int(node)))
-                old = component[found[0]]  # the two components are one from here on
-                component[component == old] = own
-                other = {k: own if v == old else v for k, v in other.items()}
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        sets = [[np.frombuffer(x, np.uint64) for x in side["members"]] for side in (left, right)]
+        links = search_links(*sets, left["component"].to_numpy(), right["component"].to_numpy(), t)
+        a, b = left["node"].to_numpy(), right["node"].to_numpy()
+        return pd.DataFrame([(int(a[i]), int(b[k])) for i, k in links], columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _search_clusters(t: Fraction):
+    """Rows (cluster, node, members) in order of cluster -> links; a cluster is held at a time."""
+
+    def links(nodes: list, sets: list) -> pa.RecordBatch | None:
+        parts = np.arange(len(nodes))
+        found = search_links(sets, sets, parts, parts, t)
+        return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in found], pa.int64()), pa.array([nodes[k] for _, k in found], pa.int64())], names=["a", "b"]) if found else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, nodes, sets = None, [], []
+        for batch in batches:
+            for cluster, node, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if cluster != last:
+                    if len(nodes) > 1 and (out := links(nodes, sets)) is not None:
+                        yield out
+                    last, nodes, sets = cluster, [], []
+                nodes.append(node)
+                sets.append(np.frombuffer(members.as_py(), np.uint64))
+        if len(nodes) > 1 and (out := links(nodes, sets)) is not None:
+            yield out
 
     return run
 
 
+#: Ids are sent to all executors up to this many (8 bytes each); beyond it they are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def _bounded(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: str = "0.9", block: int = 512) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, set_digest (two longs), component_id.
 
@@ -271,41 +310,45 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     routed = reps.select(F.explode("sigs").alias("sig"), "node").repartition("sig").sortWithinPartitions("sig", "node")
     stars = materialise(routed.mapInArrow(_stars, "a long, b long").distinct(), "jaccard-candidates")
 
-    # 3. hubs
-    near = materialise(texts.join(stars.selectExpr("explode(array(a, b)) as node").distinct(), "node", "left_semi").mapInArrow(_sets(n), "node long, members binary").distinct(), "jaccard-sets")
-    x, y = near.select(F.col("node").alias("a"), F.col("members").alias("x")), near.select(F.col("node").alias("b"), F.col("members").alias("y"))
-    sized = F.expr(f"octet_length(x) * {t.numerator} <= octet_length(y) * {t.denominator} and octet_length(y) * {t.numerator} <= octet_length(x) * {t.denominator}")
-    linked = materialise(stars.join(x, "a").join(y, "b").where(sized).select("a", "b", "x", "y").mapInArrow(_verify(t), "a long, b long"), "jaccard-linked")
-
-    # 4. search of the clusters that are not one component yet
     cluster = connected_components(stars).withColumnRenamed("component", "cluster")
-    found = connected_components(linked)
-    members = cluster.join(found, "node", "left").select("node", "cluster", F.coalesce("component", "node").alias("component"))
-    open_ = members.groupBy("cluster").agg(F.count("*").alias("n"), F.countDistinct("component").alias("parts")).where("parts > 1").select("cluster", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    dealt = members.join(open_, "cluster").join(near, "node").withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
-    # block i meets every block j >= i as the left side, every j < i as the right one
-    meets = dealt.select("cluster", "node", "component", "members", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")).select(
-        "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.expr("cast(own > other as int)").alias("side"), "node", "component", "members"
-    )
-    more = meets.groupBy("cluster", "i", "j").applyInPandas(_search_blocks(t), "a long, b long")
-
-    component = connected_components(copies.union(linked).union(more))
+    sizes = cluster.groupBy("cluster").agg(F.count("*").alias("n"))
+    nodes = materialise(cluster.join(sizes, "cluster"), "jaccard-clusters")
+    near = texts.join(_bounded(nodes.select("node")), "node", "left_semi").mapInArrow(_sets(n), "node long, members binary").dropDuplicates(["node"])
+    near = materialise(near.join(nodes, "node").select("cluster", "n", "node", "members"), "jaccard-sets")
+
+    # 3. search
+    small = near.where(F.col("n") <= block).select("cluster", "node", "members").repartition("cluster").sortWithinPartitions("cluster", "node")
+    linked = small.mapInArrow(_search_clusters(t), "a long, b long")
+
+    # 4. large clusters: hubs first, then pairs of blocks
+    large = near.where(F.col("n") > block)
+    if not large.isEmpty():
+        x, y = large.select(F.col("node").alias("a"), F.col("members").alias("x")), large.select(F.col("node").alias("b"), F.col("members").alias("y"))
+        sized = F.expr(f"octet_length(x) * {t.numerator} <= octet_length(y) * {t.denominator} and octet_length(y) * {t.numerator} <= octet_length(x) * {t.denominator}")
+        hubs = materialise(stars.join(x, "a").join(y, "b").where(sized).select("a", "b", "x", "y").mapInArrow(_verify(t), "a long, b long"), "jaccard-hubs")
+        found = connected_components(hubs)
+        members = large.select("node", "cluster").join(found, "node", "left").select("node", "cluster", F.coalesce("component", "node").alias("component"))
+        open_ = members.groupBy("cluster").agg(F.count("*").alias("n"), F.countDistinct("component").alias("parts")).where("parts > 1").select("cluster", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+        dealt = members.join(open_, "cluster").join(large.select("node", "members"), "node").withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+        # block i meets every block j >= i as the left side, every j < i as the right one
+        meets = dealt.select("cluster", "node", "component", "members", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")).select(
+            "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.expr("cast(own > other as int)").alias("side"), "node", "component", "members"
+        )
+        linked = linked.union(hubs).union(meets.groupBy("cluster", "i", "j").applyInPandas(_search_pairs(t), "a long, b long"))
+
+    component = connected_components(copies.union(linked))
     return digests.join(component, "node", "left").select(
         F.col("node").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"), F.col("d1").alias("set_digest_1"), F.col("d2").alias("set_digest_2")
     )
 
 
-#: Ids to drop are sent to all executors up to this many (8 bytes each); beyond it they are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
-
-
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The documents of ``docs`` less all but the smallest id of each component; columns as they came.
 
     Of rows that repeat a kept id one stays (one with the smallest text); rows with a null id all stay.
     """
     dropped = materialise(jaccard_classes(docs, **options).where("component_id <> doc_id").select("doc_id").distinct(), "jaccard-dropped")
-    left = docs.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped, "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(_bounded(dropped), "doc_id", "left_anti").select(*docs.columns)
     repeated = materialise(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id"), "jaccard-repeated")
     if repeated.isEmpty():
         return left
