@@ -15,9 +15,10 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
     written to the shared folder each round. Self loops and repeated edges are fine; rows with a
     null end are ignored; an empty edge list gives an empty table. The type of a node is kept.
     """
-    pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
+    given = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
+    pairs = materialise(given.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "cc-pairs")
     # each node keeps the edge to its smallest smaller neighbour and ties its others to that one: many edges fall together
-    down = pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    down = pairs.where("u <> v")
     low = down.groupBy("v").agg(F.min("u").alias("m"))
     tied = down.join(low, "v").select(F.explode(F.array(F.struct(F.col("m").alias("u"), F.col("v")), F.struct(F.col("m").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v")
     alone = pairs.where("u = v").select("u", "v")

@@ -21,6 +21,7 @@ from attesta.sources.store import TableStore
 _MEMBER = "golden_id string, source_system string, source_customer_id string, membership_status string, membership_confidence string"
 _PROFILE = "golden_id string, nik string, full_name string, phone string, email string, birth_date date, entity_status string"
 SCHEMAS = {
+    "dq_run": "run_id string, started_at timestamp_ntz, status string, total_records long",
     "golden_entity_identity": "golden_id string, cluster_signature string, is_active boolean",
     "golden_entity_member": _MEMBER,
     "golden_customer_history": _PROFILE + ", valid_from timestamp_ntz, valid_to timestamp_ntz, is_current boolean, change_reason string",
@@ -89,6 +90,9 @@ def _source_dq(run: Run) -> None:
     registry = config.rules(f"{run.metadata}/rules.csv")
     frame = rules.rule_frame(run.spark, registry)
     stg = run.store.read("stg_customer")
+    status = "FAILED" if not rules.run_rules(stg, registry, run.run_id).isEmpty() else "PASSED"
+    row = run.spark.createDataFrame([(run.run_id, run.now, status, stg.count())], SCHEMAS["dq_run"])
+    run.store.replace_run("dq_run", row, run.run_id)
     results = run.store.overwrite("dq_result", rules.run_rules(stg, registry, run.run_id))
     run.store.overwrite("dq_incident", rules.incidents(results, frame))
     run.store.replace_run("quarantine_customer", rules.quarantine(stg, results, frame), run.run_id)
@@ -202,7 +206,13 @@ def select_stages(only: list[str] | None = None, start: str | None = None) -> li
 
 
 def execute(run: Run, stages: list[str], strict: bool = False) -> Run:
-    """Run stages in order. The first that fails ends the run; a blocked gate does so only if ``strict``."""
+    """Run stages in order. The first that fails ends the run; a blocked gate does so only if ``strict``.
+
+    A run that does not check the sources again belongs to the latest run that did.
+    """
+    if "source_dq" not in stages:
+        last = run.store.read("dq_run").orderBy(F.desc("started_at"), F.desc("run_id")).first()
+        run.run_id = last["run_id"] if last else run.run_id
     for name in stages:
         began = time.monotonic()
         STAGES[name](run)
