@@ -1,0 +1 @@
+"""No operators: the engine's feature set is batch only."""
