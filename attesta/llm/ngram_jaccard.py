@@ -6,10 +6,13 @@ are built and searched block by block; what decides which documents meet in a bl
 
 1. Every document becomes a set of 64-bit shingle hashes; equal sets form one class, and only the
    smallest document of a class goes on.
-2. *Routing.* Sizes are cut into bands of ratio 1 / t. Within a band two similar sets differ in at
-   most H members, so if the hash space is dealt into H + 1 segments or more, one segment at least
-   is equal in both (pigeonhole). Documents that share a segment signature form a candidate
-   cluster. A segment holds some ten shingles, so common passages do not make documents meet.
+2. *Routing.* Sizes are cut into bands. Within a band two similar sets differ in at most H members,
+   so if the hash space is dealt into H + T segments, T of them at least are equal in both
+   (pigeonhole). A document's segment signatures are again a set to which T-occurrence applies:
+   signatures that no other document has are dropped; a document with fewer than T left is done; of
+   the others all but the T - 1 most frequent are kept (two documents that share T signatures share
+   one of these). So passages that many documents share do not make documents meet. Documents that
+   share a kept signature form a candidate cluster.
 3. *Search.* The documents of a cluster are one block: their sets are indexed and each is looked up
    by DivideSkip. The shorter lists are merged, candidates are then probed in the longer ones by
    binary search, and those that cannot reach T are let go. Documents already in one component are
@@ -29,7 +32,7 @@ from math import ceil, log2
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from attesta.llm._arrow import mix, text_slices, word_hashes, words
 from attesta.plans.components import connected_components
@@ -79,28 +82,34 @@ class Bands:
         self.edges_np = np.array(self.edges, np.int64)
         # what meets in band i are sizes below edges[i + 1]
         self.differ = [int((1 - t) * 2 * (hi - 1) / (1 + t)) for hi in self.edges[1:]]
-        self.segments = [d + 1 + (2 if d >= 8 else 0) for d in self.differ]
+        self.shared = [1 + d // 4 for d in self.differ]
+        self.segments = [d + s for d, s in zip(self.differ, self.shared)]
 
     def of(self, size: int) -> int:
         return int(np.searchsorted(self.edges_np, size, "right")) - 1
 
 
-def signatures(members: np.ndarray, bands: Bands) -> np.ndarray:
-    """Segment signatures of one set, for its own band and, near its upper edge, the next one."""
+def signatures(members: np.ndarray, bands: Bands) -> list[tuple[int, np.ndarray]]:
+    """(least number shared with a similar set, segment signatures) of one set, for its own band and, near its upper edge, the next one.
+
+    Empty segments may be equal too. With e of them a set shares T - e full ones at least; a set
+    with T or more empty segments gives signatures to these as well.
+    """
     out = []
     band = bands.of(len(members))
     mixed = mix(members + _K[1])
     for i in (band, band + 1) if len(members) / bands.t >= bands.edges[band + 1] else (band,):
-        k = bands.segments[i]
-        segment = ((members >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32) if k > 1 else np.zeros(len(members), np.uint64)
+        k, t = bands.segments[i], bands.shared[i]
+        salt = np.array([i], np.uint64) * _K[3]
+        segment = ((members >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
         # members are sorted, so segments are runs
         heads = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
-        salt = mix(segment[heads] * _K[2] + np.uint64(i) * _K[3])
-        out.append(mix(np.add.reduceat(mixed, heads) + salt))
-        if k - len(heads) >= k - bands.differ[i]:  # so few full segments that the equal one may be empty
-            empty = np.setdiff1d(np.arange(k, dtype=np.uint64), segment[heads])
-            out.append(mix(mix(empty * _K[2] + np.uint64(i) * _K[3]) + _K[4]))
-    return np.concatenate(out)
+        sigs = mix(np.add.reduceat(mixed, heads) + mix(segment[heads] * _K[2] + salt))
+        if (empty := k - len(heads)) >= t:
+            none = np.setdiff1d(np.arange(k, dtype=np.uint64), segment[heads])
+            sigs = np.r_[sigs, mix(mix(none * _K[2] + salt) + _K[4])]
+        out.append((max(1, t - empty), sigs))
+    return out
 
 
 def _digests(n: int, t: Fraction):
@@ -115,11 +124,14 @@ def _digests(n: int, t: Fraction):
                     sizes.append(len(s))
                     d1.append(int(mix(s).sum(dtype=np.uint64)) - 2**63)
                     d2.append(int(mix(s ^ _K[0]).sum(dtype=np.uint64)) - 2**63)
-                    sigs.append(signatures(s, bands).view(np.int64) if len(s) else np.zeros(0, np.int64))
-                offsets = np.cumsum([0, *map(len, sigs)]).astype(np.int32)
+                    sigs.append(signatures(s, bands) if len(s) else [])
+                flat = [r for routes in sigs for r in routes]
+                inner = pa.ListArray.from_arrays(np.cumsum([0, *[len(x) for _, x in flat]]).astype(np.int32), np.concatenate([np.zeros(0, np.uint64), *[x for _, x in flat]]).view(np.int64))
+                routes = pa.StructArray.from_arrays([pa.array([t for t, _ in flat], pa.int32()), inner], names=["least", "sigs"])
+                offsets = pa.array(np.cumsum([0, *map(len, sigs)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.ListArray.from_arrays(offsets, np.concatenate(sigs))],
-                    names=["node", "size", "d1", "d2", "sigs"],
+                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.ListArray.from_arrays(offsets, routes)],
+                    names=["node", "size", "d1", "d2", "routes"],
                 )
 
     return run
@@ -298,17 +310,20 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     t = Fraction(threshold)
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    digests = materialise(texts.mapInArrow(_digests(n, t), "node long, size long, d1 long, d2 long, sigs array<long>"), "jaccard-digests")
+    digests = materialise(texts.mapInArrow(_digests(n, t), "node long, size long, d1 long, d2 long, routes array<struct<least: int, sigs: array<bigint>>>"), "jaccard-digests")
     full = digests.where("size > 0 and node is not null")
 
     # 1. classes of equal sets
     classes = materialise(full.groupBy("d1", "d2", "size").agg(F.min("node").alias("rep")), "jaccard-classes")
     copies = full.select("node", "d1", "d2", "size").join(classes, ["d1", "d2", "size"]).select(F.col("rep").alias("a"), F.col("node").alias("b")).where("a <> b")
 
-    # 2. routing: documents that share a segment signature
+    # 2. routing: documents that share enough segment signatures
     reps = full.join(classes.select("d1", "d2", "size", F.col("rep").alias("node")).distinct(), ["node", "d1", "d2", "size"], "left_semi")
-    routed = reps.select(F.explode("sigs").alias("sig"), "node").repartition("sig").sortWithinPartitions("sig", "node")
-    stars = materialise(routed.mapInArrow(_stars, "a long, b long").distinct(), "jaccard-candidates")
+    routes = reps.select("node", F.posexplode("routes").alias("slot", "r")).select("node", "slot", "r.least", F.explode("r.sigs").alias("sig"))
+    common = routes.withColumn("df", F.count("*").over(Window.partitionBy("sig"))).where("df > 1")
+    own = Window.partitionBy("node", "slot")
+    kept = common.withColumn("n", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("df", "sig"))).where("place <= n - least + 1").select("sig", "node")
+    stars = materialise(kept.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_stars, "a long, b long").distinct(), "jaccard-candidates")
 
     cluster = connected_components(stars).withColumnRenamed("component", "cluster")
     sizes = cluster.groupBy("cluster").agg(F.count("*").alias("n"))

@@ -53,6 +53,7 @@ def test_against_brute_force(spark):
         docs = family(random.Random(seed))
         df = spark.createDataFrame(docs, "doc_id long, text string")
         assert rows(J.jaccard_classes(df, block=7)) == brute(docs)
+    assert rows(J.jaccard_classes(df, n=2, threshold="0.8")) == brute(docs, 2, 80)
 
 
 def test_whole_table_against_brute_force(spark, documents):
@@ -71,16 +72,18 @@ def test_divide_skip_finds_all():
             assert sorted(index.search(q, t)) == want
 
 
-def test_signatures_meet_at_threshold():
+def test_signatures_shared_at_threshold():
     rng = np.random.default_rng(9)
-    bands = J.Bands(Fraction("0.9"))
-    for size in [1, 5, 9, 10, 19, 20, 40, 77, 200, 1000]:
-        for _ in range(20):
-            x = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
-            drop = rng.integers(0, len(x) // 10 + 1)
-            y = np.sort(rng.choice(x, len(x) - drop, replace=False))
-            if 10 * len(y) >= 9 * len(x):
-                assert len(np.intersect1d(J.signatures(x, bands), J.signatures(y, bands)))
+    for t in (Fraction("0.9"), Fraction("0.8")):
+        bands = J.Bands(t)
+        for size in [1, 2, 4, 5, 9, 10, 19, 20, 40, 77, 200, 1000]:
+            for _ in range(30):
+                x = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2))
+                y = np.sort(rng.choice(x, len(x) - rng.integers(0, len(x) // 4 + 1), replace=False))
+                y = np.unique(np.r_[y, rng.integers(0, 1 << 63, rng.integers(0, len(x) // 8 + 1), dtype=np.uint64)])
+                if len(np.intersect1d(x, y)) >= t * len(np.union1d(x, y)):
+                    pairs = [(max(a, b), len(np.intersect1d(p, q))) for a, p in J.signatures(x, bands) for b, q in J.signatures(y, bands)]
+                    assert any(n >= least for least, n in pairs)
 
 
 def test_shingle_hash_is_of_words():
