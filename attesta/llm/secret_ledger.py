@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
-from attesta.session import shared_dir
+from attesta.session import materialise, shared_dir
 
 #: Bumped whenever a rule changes, so that old blobs are scanned anew.
 RULES_VERSION = "1"
@@ -109,6 +109,10 @@ class BlobLedger:
         return addressed.join(self.known(), "blob").select(F.col("path").alias(path_col), "blob", "spans", "cover")
 
 
+#: Keys with findings are sent to all executors up to this many (8 bytes each); beyond it they are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
 def span_text(spans: Column) -> Column:
     """kind:start:end, comma-joined in the order that the scan gave."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -116,9 +120,14 @@ def span_text(spans: Column) -> Column:
 
 def redact(docs: DataFrame, ledger: BlobLedger, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every found span replaced by ``mark`` (overlapping spans by one); n_chars follows the text; rows and columns as they came."""
-    found = ledger.scan(docs.select("doc_id", "text")).where(F.size("cover") > 0).select(F.col("doc_id").alias("_path"), F.col("blob").alias("_blob"), "cover").distinct()
-    cover = found.withColumnRenamed("cover", "_cover")
-    marked = docs.join(cover, F.col("doc_id").eqNullSafe(F.col("_path")) & (F.sha2("text", 256) == F.col("_blob")), "left")
+    found = ledger.scan(docs.select("doc_id", "text")).where(F.size("cover") > 0).select(F.col("doc_id").alias("_path"), F.col("blob").alias("_blob"), F.col("cover").alias("_cover")).distinct()
+    found = materialise(found, "redact-found")
+    # only documents whose key has a finding are joined with the findings; the others pass where they lie
+    keys = found.select(F.xxhash64("_path").alias("_key")).distinct()
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    clean = docs.join(keys, F.xxhash64("doc_id") == F.col("_key"), "left_anti").select(*docs.columns)
+    some = docs.join(keys, F.xxhash64("doc_id") == F.col("_key"), "left_semi")
+    marked = some.join(found, F.col("doc_id").eqNullSafe(F.col("_path")) & (F.sha2("text", 256) == F.col("_blob")), "left")
     state = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
     text = F.col("text")
     hidden = F.aggregate(
@@ -129,4 +138,4 @@ def redact(docs: DataFrame, ledger: BlobLedger, mark: str = "[secret]") -> DataF
     )
     cleaned = marked.withColumn("text", F.when(F.col("_cover").isNotNull(), hidden).otherwise(text))
     size = F.when(F.col("_cover").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return cleaned.withColumn("n_chars", size).select(*docs.columns)
+    return clean.unionByName(cleaned.withColumn("n_chars", size).select(*docs.columns))
