@@ -76,6 +76,11 @@ def _score_parts(spark, sf_dir):
     return dims, quality, summary, entities, queue
 
 
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    """Sums of doubles depend on the order of rows in their last digits; six decimals do not."""
+    return df.select(*[F.round(c, 6).alias(c) if c in columns else F.col(c) for c in df.columns])
+
+
 # --- queries -----------------------------------------------------------------------------------
 
 
@@ -241,17 +246,17 @@ def review_ids(spark, sf_dir):
 
 
 def score_dimensions(spark, sf_dir):
-    return scoring.overall(_score_parts(spark, sf_dir)[0])
+    return _rounded(scoring.overall(_score_parts(spark, sf_dir)[0]), "score", "contribution")
 
 
 def overall_score(spark, sf_dir):
     dims, quality, *_ = _score_parts(spark, sf_dir)
-    return scoring.overall_score(dims, quality, config.thresholds("cdp_score"))
+    return _rounded(scoring.overall_score(dims, quality, config.thresholds("cdp_score")), "overall_score")
 
 
 def publication_gate(spark, sf_dir):
     dims, quality, summary, entities, queue = _score_parts(spark, sf_dir)
-    return scoring.publication_gate(scoring.overall_score(dims, quality, config.thresholds("cdp_score")), summary, entities, queue, config.thresholds("cdp_gate"))
+    return _rounded(scoring.publication_gate(scoring.overall_score(dims, quality, config.thresholds("cdp_score")), summary, entities, queue, config.thresholds("cdp_gate")), "overall_score")
 
 
 def golden_lineage(spark, sf_dir):

@@ -237,9 +237,9 @@ from (select q.*, coalesce(q.golden_id, m.golden_id) as g, case when g is not nu
     "review_ids": """
 with h as (select c_custkey, sha1(unhex('6BA7B8119DAD11D180B400C04FD430C8') || encode('POSSIBLE_MATCH|' || c_name)) as h from customer)
 select c_custkey, substring(h, 1, 8) || '-' || substring(h, 9, 4) || '-5' || substring(h, 14, 3) || '-' || substring('89ab', cast('0x' || substring(h, 17, 1) as int) % 4 + 1, 1) || substring(h, 18, 3) || '-' || substring(h, 21, 12) as review_id from h""",
-    "score_dimensions": _q(_SCORES, "select *, score * weight / (select sum(weight) from dims0 where score is not null) as contribution from dims0"),
-    "overall_score": _q(_SCORES, "select * from overall1"),
-    "publication_gate": _q(_GATE, "select case when blocking_reasons <> '' then 'BLOCKED' when warning_reasons <> '' then 'WARNING' else 'PASSED' end as gate_status, * from gate"),
+    "score_dimensions": _q(_SCORES, "select dimension, round(score, 6) as score, weight, detail, round(score * weight / (select sum(weight) from dims0 where score is not null), 6) as contribution from dims0"),
+    "overall_score": _q(_SCORES, "select * replace (round(overall_score, 6) as overall_score) from overall1"),
+    "publication_gate": _q(_GATE, "select case when blocking_reasons <> '' then 'BLOCKED' when warning_reasons <> '' then 'WARNING' else 'PASSED' end as gate_status, * replace (round(overall_score, 6) as overall_score) from gate"),
     "golden_lineage": _q(_SURVIVORS, """
 select s.*, d.status as attribute_dq_status, d.message as attribute_dq_message, m.membership_status, m.membership_confidence, case when k % 20 = 0 then 'APPROVED' end as resolution_action, case when k % 20 = 0 then 'STEWARD' end as resolved_by, e.entity_status, e.confidence as entity_confidence, 'RUN-1' as run_id
 from (select *, cast(substring(source_customer_id, 4) as bigint) as k from survivors) s join attr_dq d using (source_system, source_customer_id, attribute_name) join members m using (golden_id, source_system, source_customer_id) join entities e using (golden_id)""").replace("select s.*,", "select s.* exclude (k),"),
