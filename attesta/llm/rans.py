@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from attesta.llm.tokenize import default_path, offsets_by_part, token_table
+from attesta.llm.tokenize import default_path, narrow_ids, offsets_by_part, token_table
 from attesta.session import materialise, shared_dir
 
 BITS = 20  # frequencies sum to 2**BITS
@@ -153,27 +153,30 @@ class Block:
         return out
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        col = batch.column(0)
-        for lo in range(0, len(col), 500):
-            got = np.bincount(np.frombuffer(b"".join(col.slice(lo, 500).to_pylist()), "<u4"), minlength=len(total))
-            got[: len(total)] += total
-            total = got
-    ids = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], names=["id", "count"])
+def _count(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            col = batch.column(0)
+            for lo in range(0, len(col), 500):
+                got = np.bincount(np.frombuffer(b"".join(col.slice(lo, 500).to_pylist()), f"<u{width}"), minlength=len(total))
+                got[: len(total)] += total
+                total = got
+        ids = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], names=["id", "count"])
+
+    return run
 
 
-def _encode(ids: np.ndarray, freq: np.ndarray):
+def _encode(ids: np.ndarray, freq: np.ndarray, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, part, block, total = Table(ids, freq), TaskContext.get().partitionId(), 0, 0
         names, held, size = [], [], 0
 
         def close():
             nonlocal block, total, names, held, size
-            lengths = np.array([len(x) // 4 for x in held], np.int64)
-            payload = encode_block(np.frombuffer(b"".join(held), "<u4"), names, lengths, table)
+            lengths = np.array([len(x) // width for x in held], np.int64)
+            payload = encode_block(np.frombuffer(b"".join(held), f"<u{width}"), names, lengths, table)
             row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([total], pa.int64()), pa.array([size], pa.int64()), pa.array([payload], pa.binary())], names=["part", "block", "local_start", "n", "payload"])
             block, total, names, held, size = block + 1, total + size, [], [], 0
             return row
@@ -184,7 +187,7 @@ def _encode(ids: np.ndarray, freq: np.ndarray):
                 for name, x in zip(cut.column(0).to_pylist(), cut.column(1).to_pylist()):
                     names.append(name)
                     held.append(x)
-                    size += len(x) // 4
+                    size += len(x) // width
                     if size >= BLOCK_TOKENS:
                         yield close()
         if held:
@@ -215,14 +218,16 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str | None = N
     An empty table gives an empty file. Memory: a block and the table of at most as many rows as the
     vocabulary; a document is never split, so one longer than a block makes a block of its own.
     """
-    tokens = materialise(token_table(docs, tokenizer_path or default_path(), end_id, id_col, text_col).select("doc_id", "ids"), "rans-tokens")
-    counts = tokens.select("ids").mapInArrow(_count, "id long, count long").groupBy("id").agg(F.sum("count").alias("count"))
+    own = tokenizer_path or default_path()
+    width = 2 if narrow_ids(own, end_id) else 4
+    tokens = materialise(token_table(docs, own, end_id, id_col, text_col, width).select("doc_id", "ids"), "rans-tokens")
+    counts = tokens.select("ids").mapInArrow(_count(width), "id long, count long").groupBy("id").agg(F.sum("count").alias("count"))
     seen = counts.toPandas()  # as many rows as the vocabulary at most
     table = Table.scaled(seen["id"].to_numpy(np.int64), seen["count"].to_numpy(np.int64)) if len(seen) else Table(np.zeros(0, np.int64), np.zeros(0, np.int64))
     spark = docs.sparkSession
     spark.createDataFrame([(int(i), int(f)) for i, f in zip(table.ids, table.freq)], "id long, freq long").coalesce(1).write.parquet(f"{path}/frequencies")
     ordered = tokens.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
-    ordered.mapInArrow(_encode(table.ids.astype(np.int64), table.freq.astype(np.int64)), "part int, block int, local_start long, n long, payload binary").write.parquet(f"{path}/blocks")
+    ordered.mapInArrow(_encode(table.ids.astype(np.int64), table.freq.astype(np.int64), width), "part int, block int, local_start long, n long, payload binary").write.parquet(f"{path}/blocks")
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:

@@ -78,8 +78,13 @@ def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def token_table(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, part, local_start, n, ids): ids with ``end_id`` at the end as bytes, and the tokens before them in their partition.
+def narrow_ids(path: str, end_id: int) -> bool:
+    """Whether all ids fit 16 bits."""
+    return max(tokenizer(path).whole.get_vocab_size() - 1, end_id) < 1 << 16
+
+
+def token_table(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
+    """(doc_id, part, local_start, n, ids): ids of ``width`` bytes with ``end_id`` at the end, and the tokens before them in their partition.
 
     Null texts are empty (only the end id). Every row gives a row, null and repeated ids included.
     ``part`` and ``local_start`` hold for one run only: write the table before use.
@@ -93,6 +98,8 @@ def token_table(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id",
                 cut = batch.slice(lo, 500)
                 ids = [(own.ids(t) if t else b"") + end for t in cut.column(1).to_pylist()]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
+                if width == 2:
+                    ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
                 starts = total + np.cumsum(n) - n
                 total += int(n.sum())
                 yield pa.RecordBatch.from_arrays([cut.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(starts), pa.array(n), pa.array(ids, pa.binary())], names=["doc_id", "part", "local_start", "n", "ids"])
