@@ -26,13 +26,14 @@ are built and searched block by block; what decides which documents meet in a bl
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from fractions import Fraction
 from math import ceil, log2
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from attesta.llm._arrow import mix, text_slices, word_hashes, words
 from attesta.plans.components import connected_components
@@ -112,37 +113,44 @@ def signatures(members: np.ndarray, bands: Bands) -> list[tuple[int, np.ndarray]
     return out
 
 
-def _digests(n: int, t: Fraction):
-    bands = Bands(t)
-
+def _digests(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
                 part = batch.slice(lo, 2000)
-                sizes, d1, d2, sigs = [], [], [], []
-                for s in shingle_sets(part.column(1), n):
-                    sizes.append(len(s))
-                    d1.append(int(mix(s).sum(dtype=np.uint64)) - 2**63)
-                    d2.append(int(mix(s ^ _K[0]).sum(dtype=np.uint64)) - 2**63)
-                    sigs.append(signatures(s, bands) if len(s) else [])
+                rows = [(len(s), int(mix(s).sum(dtype=np.uint64)) - 2**63, int(mix(s ^ _K[0]).sum(dtype=np.uint64)) - 2**63) for s in shingle_sets(part.column(1), n)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, pa.int64()) for c in zip(*rows)]], names=["node", "size", "d1", "d2"])
+
+    return run
+
+
+def _routes(n: int, t: Fraction):
+    """(node, routes) of every set that is not empty."""
+    bands = Bands(t)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                sigs = [signatures(s, bands) if len(s) else [] for s in shingle_sets(part.column(1), n)]
                 flat = [r for routes in sigs for r in routes]
                 inner = pa.ListArray.from_arrays(np.cumsum([0, *[len(x) for _, x in flat]]).astype(np.int32), np.concatenate([np.zeros(0, np.uint64), *[x for _, x in flat]]).view(np.int64))
                 routes = pa.StructArray.from_arrays([pa.array([t for t, _ in flat], pa.int32()), inner], names=["least", "sigs"])
                 offsets = pa.array(np.cumsum([0, *map(len, sigs)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.ListArray.from_arrays(offsets, routes)],
-                    names=["node", "size", "d1", "d2", "routes"],
-                )
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, routes)], names=["node", "routes"])
 
     return run
 
 
 def _sets(n: int):
+    """Rows (node, text, ...) -> (node, set, ...)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1), n)], pa.binary())], names=["node", "members"])
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                sets = pa.array([s.tobytes() for s in shingle_sets(part.column(1), n)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), sets, part.column(2), part.column(3)], names=["node", "members", "cluster", "n"])
 
     return run
 
@@ -299,6 +307,18 @@ def _bounded(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Arrow batches of so many rows while the steps run: a row may hold a text and two sets."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: str = "0.9", block: int = 512) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, set_digest (two longs), component_id.
 
@@ -308,18 +328,24 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     returned, with the common component. Rows with a null id are returned with a null component and
     link with nothing. Other columns are not read. An empty table gives an empty table.
     """
-    t = Fraction(threshold)
+    with small_batches(docs.sparkSession):
+        return _classes(docs, id_col, text_col, n, Fraction(threshold), block)
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, n: int, t: Fraction, block: int) -> DataFrame:
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    digests = materialise(texts.mapInArrow(_digests(n, t), "node long, size long, d1 long, d2 long, routes array<struct<least: int, sigs: array<bigint>>>"), "jaccard-digests")
+    digests = materialise(texts.mapInArrow(_digests(n), "node long, size long, d1 long, d2 long"), "jaccard-digests")
     full = digests.where("size > 0 and node is not null")
 
     # 1. classes of equal sets
     classes = materialise(full.groupBy("d1", "d2", "size").agg(F.min("node").alias("rep")), "jaccard-classes")
-    copies = full.select("node", "d1", "d2", "size").join(classes, ["d1", "d2", "size"]).select(F.col("rep").alias("a"), F.col("node").alias("b")).where("a <> b")
+    copies = materialise(full.join(classes, ["d1", "d2", "size"]).select(F.col("rep").alias("a"), F.col("node").alias("b")).where("a <> b").distinct(), "jaccard-copies")
 
     # 2. routing: documents that share enough segment signatures
-    reps = full.join(classes.select("d1", "d2", "size", F.col("rep").alias("node")).distinct(), ["node", "d1", "d2", "size"], "left_semi")
-    routes = reps.select("node", F.posexplode("routes").alias("slot", "r")).select("node", "slot", "r.least", F.explode("r.sigs").alias("sig"))
+    # signatures are made from the texts once more, which costs less than keeping them; copies of a class are left out
+    alone = copies.select(F.col("b").alias("node")).distinct().join(classes.select(F.col("rep").alias("node")), "node", "left_anti")
+    routes = texts.where("node is not null").mapInArrow(_routes(n, t), "node long, routes array<struct<least: int, sigs: array<bigint>>>").join(_bounded(alone), "node", "left_anti")
+    routes = routes.select("node", F.posexplode("routes").alias("slot", "r")).select("node", "slot", "r.least", F.explode("r.sigs").alias("sig"))
     common = routes.withColumn("df", F.count("*").over(Window.partitionBy("sig"))).where("df > 1")
     own = Window.partitionBy("node", "slot")
     kept = common.withColumn("n", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("df", "sig"))).where("place <= n - least + 1").select("sig", "node")
@@ -328,8 +354,10 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cluster = connected_components(stars).withColumnRenamed("component", "cluster")
     sizes = cluster.groupBy("cluster").agg(F.count("*").alias("n"))
     nodes = materialise(cluster.join(sizes, "cluster"), "jaccard-clusters")
-    near = texts.join(_bounded(nodes.select("node")), "node", "left_semi").mapInArrow(_sets(n), "node long, members binary").dropDuplicates(["node"])
-    near = materialise(near.join(nodes, "node").select("cluster", "n", "node", "members"), "jaccard-sets")
+    near = texts.join(_bounded(nodes), "node").select("node", "text", "cluster", "n").mapInArrow(_sets(n), "node long, members binary, cluster long, n long")
+    if not full.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").isEmpty():  # ids that repeat
+        near = near.distinct()
+    near = materialise(near, "jaccard-sets")
 
     # 3. search
     small = near.where(F.col("n") <= block).select("cluster", "node", "members").repartition("cluster").sortWithinPartitions("cluster", "node")
@@ -340,7 +368,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not large.isEmpty():
         x, y = large.select(F.col("node").alias("a"), F.col("members").alias("x")), large.select(F.col("node").alias("b"), F.col("members").alias("y"))
         sized = F.expr(f"octet_length(x) * {t.numerator} <= octet_length(y) * {t.denominator} and octet_length(y) * {t.numerator} <= octet_length(x) * {t.denominator}")
-        hubs = materialise(stars.join(x, "a").join(y, "b").where(sized).select("a", "b", "x", "y").mapInArrow(_verify(t), "a long, b long"), "jaccard-hubs")
+        # each document against its smallest hub
+        first = stars.groupBy("b").agg(F.min("a").alias("a"))
+        hubs = materialise(first.join(x, "a").join(y, "b").where(sized).select("a", "b", "x", "y").mapInArrow(_verify(t), "a long, b long"), "jaccard-hubs")
         found = connected_components(hubs)
         members = large.select("node", "cluster").join(found, "node", "left").select("node", "cluster", F.coalesce("component", "node").alias("component"))
         open_ = members.groupBy("cluster").agg(F.count("*").alias("n"), F.countDistinct("component").alias("parts")).where("parts > 1").select("cluster", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
