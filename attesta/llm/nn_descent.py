@@ -6,12 +6,16 @@
    neighbours. No bucket is one task, whatever its size.
 3. *Descent.* Each round joins neighbours of neighbours: every node compares the nodes that list it
    or that it lists among each other and tells each the better ones; each keeps its best K.
-4. *Threshold edges.* Neighbours with cosine >= threshold are edges; their components are found.
-5. *Saturated lists.* A list may be too short for a node's links. Lists are enlarged to the whole
-   component: members near the component's pivot (within half the threshold angle) are linked with
+4. *Threshold edges.* Whatever a block or a join measures at cosine >= threshold counts for the
+   components, whether a list has room for it or not: a spanning forest of those pairs is kept beside
+   the lists, which joins the same nodes with fewer edges than nodes.
+5. *Saturated lists.* A list of K links may be too short for a node's links. While there are such
+   lists, seeds and descent are repeated with lists of neighbours outside the node's own component,
+   so that a list holds what is not known yet, however large the component.
+6. *Links.* Within a component members near its pivot (within half the threshold angle) are linked with
    each other by the triangle inequality and only counted; all others are compared with every
    member, in pairs of blocks. So n_links is exact within components, without expanding copies.
-6. *Audit.* For a bounded sample of nodes all links are found by brute force, in one pass; if fewer
+7. *Audit.* For a bounded sample of nodes all links are found by brute force, in one pass; if fewer
    than ``least_recall`` of them lie within components, another round of seeds and descent follows.
 """
 
@@ -69,74 +73,95 @@ def _signs(tables: int, bits: int, seed: int):
                     code = ((x @ planes) > 0) @ (1 << np.arange(bits))
                     along = x @ rng.normal(size=x.shape[1])
                     key = (code.astype(np.int64) * tables + t) * 100_003 + x.shape[1]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(key), pa.array(along)], names=["id", "unit", "bucket", "along"])
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at)) for c in range(3)), pa.array(key), pa.array(along)], names=["id", "unit", "component", "bucket", "along"])
 
     return run
 
 
-def _best(x: np.ndarray, ids: np.ndarray, k: int, sims: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each row its k nearest others: (id, neighbour, cosine)."""
-    s = x @ x.T if sims is None else sims
-    np.fill_diagonal(s, -2)
+def _forest(near: np.ndarray) -> tuple[list, list]:
+    """Edges (row, column) that connect what the symmetric matrix ``near`` connects."""
+    left, right = [], []
+    degree = near.sum(1)
+    todo = degree > 0
+    while todo.any():
+        first = int(np.argmax(np.where(todo, degree, 0)))
+        todo[first] = False
+        queue = [first]
+        while queue and todo.any():
+            row = queue.pop()
+            new = np.flatnonzero(near[row] & todo)
+            todo[new] = False
+            left += [row] * len(new)
+            right += new.tolist()
+            queue += new.tolist()
+    return left, right
+
+
+def _best(x: np.ndarray, ids: np.ndarray, component: np.ndarray, k: int, threshold: float, worst: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(id, neighbour, cosine, tree): for each row its k nearest of other components, if better than ``worst``; and a forest of the pairs >= threshold (tree)."""
+    s = x @ x.T
+    s[component[:, None] == component[None, :]] = -2
     k = min(k, len(x) - 1)
     near = np.argpartition(-s, k - 1, axis=1)[:, :k]
-    rows = np.repeat(np.arange(len(x)), k)
-    cols = near.ravel()
-    return ids[rows], ids[cols], s[rows, cols]
+    rows, cols = np.repeat(np.arange(len(x)), k), near.ravel()
+    keep = s[rows, cols] > (-2 if worst is None else worst[rows])
+    left, right = _forest(s >= threshold - 1e-9)
+    rows, cols = np.r_[rows[keep], np.array(left, np.int64)], np.r_[cols[keep], np.array(right, np.int64)]
+    return ids[rows], ids[cols], s[rows, cols], np.arange(len(rows)) >= len(rows) - len(left)
 
 
-def _blocks(k: int):
-    """Rows (bucket, along, id, unit) in that order -> edges of overlapping blocks."""
+def _edges(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=["a", "b", "sim", "tree"])
 
-    def edges(ids: list, units: list) -> pa.RecordBatch:
-        a, b, s = _best(np.frombuffer(b"".join(units), np.float64).reshape(len(units), -1), np.array(ids, np.int64), k)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], names=["a", "b", "sim"])
+
+def _blocks(k: int, threshold: float):
+    """Rows (bucket, id, unit, component) by bucket and direction -> edges of overlapping blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, ids, units, fresh = None, [], [], 0
+        last, ids, units, own, fresh = None, [], [], [], 0
+
+        def edges() -> pa.RecordBatch:
+            return _edges([_best(np.frombuffer(b"".join(units), np.float64).reshape(len(units), -1), np.array(ids, np.int64), np.array(own, np.int64), k, threshold)])
+
         for batch in batches:
-            for bucket, i, u in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for bucket, i, u, c in zip(*(batch.column(c).to_pylist() for c in range(4))):
                 if bucket != last or len(ids) >= BLOCK:
                     if fresh and len(ids) > 1:
-                        yield edges(ids, units)
-                    ids, units = (ids[-OVERLAP:], units[-OVERLAP:]) if bucket == last else ([], [])
+                        yield edges()
+                    ids, units, own = (ids[-OVERLAP:], units[-OVERLAP:], own[-OVERLAP:]) if bucket == last else ([], [], [])
                     last, fresh = bucket, 0
                 ids.append(i)
                 units.append(u)
+                own.append(c)
                 fresh += 1
         if fresh and len(ids) > 1:
-            yield edges(ids, units)
+            yield edges()
 
     return run
 
 
-def _meet(k: int):
-    """Rows (node, member, unit of the member, cosine of the member's worst neighbour) by node -> better edges among the members of each node."""
+def _meet(k: int, threshold: float):
+    """Rows (node, member, unit of the member, its component, cosine of its worst neighbour) by node -> better edges among the members of each node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list, list, list, list] = ([], [], [], [])
+        held: tuple[list, list, list, list, list] = ([], [], [], [], [])
 
         def flush(cut: int):
             node = np.array(held[0][:cut])
-            ids, worst = np.array(held[1][:cut], np.int64), np.array(held[3][:cut])
+            ids, own, worst = np.array(held[1][:cut], np.int64), np.array(held[3][:cut], np.int64), np.array(held[4][:cut])
             heads = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
             out = []
             for lo, hi in zip(heads.tolist(), [*heads[1:].tolist(), cut]):
                 for at in range(lo, hi, BLOCK):  # a node listed by very many compares them block by block
                     end = min(hi, at + BLOCK)
                     if end - at > 1:
-                        a, b, s = _best(np.frombuffer(b"".join(held[2][at:end]), np.float64).reshape(end - at, -1), ids[at:end], k)
-                        better = s > np.repeat(worst[at:end], len(a) // (end - at))
-                        out.append((a[better], b[better], s[better]))
+                        out.append(_best(np.frombuffer(b"".join(held[2][at:end]), np.float64).reshape(end - at, -1), ids[at:end], own[at:end], k, threshold, worst[at:end]))
             for part in held:
                 del part[:cut]
-            if out:
-                a, b, s = (np.concatenate(c) for c in zip(*out))
-                return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], names=["a", "b", "sim"])
-            return None
+            return _edges(out) if out else None
 
         for batch in batches:
-            for c in range(4):
+            for c in range(5):
                 held[c].extend(batch.column(c).to_pylist())
             if len(held[0]) >= 4096:
                 cut = len(held[0])
@@ -153,10 +178,10 @@ def _meet(k: int):
 
 
 def _keep_best(edges: DataFrame, k: int) -> DataFrame:
-    """The k best neighbours of each node."""
-    best = edges.groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    """The k best neighbours of each node (place 1 to k), and the edges of forests."""
+    best = edges.groupBy("a", "b").agg(F.max("sim").alias("sim"), F.max("tree").alias("tree"))
     place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))
-    return best.withColumn("place", place).where(F.col("place") <= k)
+    return best.withColumn("place", place).where((F.col("place") <= k) | F.col("tree"))
 
 
 def _link_pairs(threshold: float):
@@ -214,22 +239,34 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     n = nodes.count()
     bits = max(1, min(40, int(np.ceil(np.log2(max(n, 2) / 64)))))
     plain = nodes.select("id", "unit")
-    graph, recall, component = None, 1.0, None
+    form = "a long, b long, sim double, tree boolean"
+    graph, recall, turn = None, 1.0, 0
+    component = plain.select("id", F.col("id").alias("component"))
     for attempt in range(attempts):
-        dealt = plain.mapInArrow(_signs(tables, bits, 1000 + attempt), "id long, unit binary, bucket long, along double")
-        # a bucket is cut along its direction into ranges, so that no bucket is one task
-        spread = dealt.repartitionByRange("bucket", "along").sortWithinPartitions("bucket", "along", "id").select("bucket", "id", "unit")
-        seeds = spread.mapInArrow(_blocks(k), "a long, b long, sim double")
-        graph = materialise(_keep_best(seeds if graph is None else seeds.unionByName(graph.select("a", "b", "sim")), k), "nn-graph")
-        for _ in range(rounds):
-            worst = graph.groupBy("a").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(F.lit(-2.0)).alias("worst"))
-            lists = graph.select(F.col("a").alias("node"), F.col("b").alias("member")).union(graph.select("b", "a")).union(plain.select("id", "id")).distinct()
-            known = plain.join(worst, plain["id"] == worst["a"], "left").select(F.col("id").alias("member"), "unit", F.coalesce("worst", F.lit(-2.0)).alias("worst"))
-            met = lists.join(known, "member").select("node", "member", "unit", "worst").repartition("node").sortWithinPartitions("node", "member")
-            better = met.mapInArrow(_meet(k), "a long, b long, sim double")
-            graph = materialise(_keep_best(better.unionByName(graph.select("a", "b", "sim")), k), "nn-graph")
-        component = connected_components(graph.where(F.col("sim") >= threshold - 1e-9).select("a", "b"))
-        component = materialise(plain.select("id").join(component.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component")), "nn-components")
+        saturated = True
+        while saturated:
+            labelled = materialise(plain.join(component, "id"), "nn-labelled")
+            dealt = labelled.select("id", "unit", "component").mapInArrow(_signs(tables, bits, 1000 + turn), "id long, unit binary, component long, bucket long, along double")
+            # a bucket is cut along its direction into ranges, so that no bucket is one task
+            spread = dealt.repartitionByRange("bucket", "along").sortWithinPartitions("bucket", "along", "id").select("bucket", "id", "unit", "component")
+            found = spread.mapInArrow(_blocks(k, threshold), form)
+            if graph is not None:  # what earlier lists hold outside the components
+                ends = graph.join(component.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(component.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
+                found = found.unionByName(ends.where("ca <> cb").select("a", "b", "sim", "tree"))
+            graph = materialise(_keep_best(found, k), "nn-graph")
+            for _ in range(rounds):
+                lists = graph.where(F.col("place") <= k)
+                worst = lists.groupBy("a").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(F.lit(-2.0)).alias("worst"))
+                lists = lists.select(F.col("a").alias("node"), F.col("b").alias("member")).union(lists.select("b", "a")).union(plain.select("id", "id")).distinct()
+                known = labelled.join(worst, labelled["id"] == worst["a"], "left").select(F.col("id").alias("member"), "unit", "component", F.coalesce("worst", F.lit(-2.0)).alias("worst"))
+                met = lists.join(known, "member").select("node", "member", "unit", "component", "worst").repartition("node").sortWithinPartitions("node", "member")
+                better = met.mapInArrow(_meet(k, threshold), form)
+                graph = materialise(_keep_best(better.unionByName(graph.select("a", "b", "sim", "tree")), k), "nn-graph")
+            linked = graph.where(F.col("sim") >= threshold - 1e-9)
+            saturated = not linked.where(F.col("place") == k).isEmpty()
+            joined = connected_components(linked.select("a", "b").union(component.where("id <> component").select("id", "component")))
+            component = materialise(plain.select("id").join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component")), "nn-components")
+            turn += 1
         sample = plain.orderBy(F.xxhash64("id", F.lit(attempt))).limit(audit).toPandas()  # audit rows at most
         truth = plain.mapInArrow(_brute(sample["id"].to_numpy(np.int64), list(sample["unit"]), threshold), "a long, b long").where("a <> b")
         ends = truth.join(component.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(component.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")

@@ -80,3 +80,21 @@ def test_tiny_tables(spark, n):
     rows = [(5, [1.0, 2.0], 0), (4, [1.0, 2.001], 0)][:n]
     got = near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == brute(rows)
+
+
+def tight_pairs(rng, pairs, size=12, dim=32, between=0.91):
+    """Pairs of groups: cosines inside a group near 1, between the two of a pair ``between``, else low."""
+    out = []
+    for _ in range(pairs):
+        a, b = np.linalg.qr(rng.normal(size=(dim, 2)))[0].T
+        for centre in (a, between * a + np.sqrt(1 - between**2) * b):
+            out += [(centre + 0.002 * rng.normal(size=dim) / np.sqrt(dim)).astype(np.float32).tolist() for _ in range(size)]
+    return [(i, out[j], 0) for i, j in enumerate(rng.permutation(len(out)))]
+
+
+@pytest.mark.parametrize("pairs", [1, 40])
+def test_links_beside_full_lists(spark, pairs):
+    """Every node has more than k better neighbours than those in the other group."""
+    rows = tight_pairs(np.random.default_rng(3), pairs)
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == brute(rows)
