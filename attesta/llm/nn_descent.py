@@ -1,7 +1,8 @@
 """Embedding near-duplicates by NN-descent.
 
 1. *Classes.* Bitwise equal vectors are one node; a class counts with its size.
-2. *Seeds.* A few tables of random hyperplanes deal nodes into buckets; a bucket is sorted along one
+2. *Seeds.* Tables of random hyperplanes deal nodes into buckets, more of them the more hyperplanes a
+   table has, so that a pair at the threshold shares a bucket as often at any size; a bucket is sorted along one
    more random direction and cut into overlapping blocks, and the nearest in a block are the first
    neighbours. No bucket is one task, whatever its size.
 3. *Descent.* Each round joins neighbours of neighbours: every node compares the nodes that list it
@@ -15,8 +16,11 @@
 6. *Links.* Within a component members near its pivot (within half the threshold angle) are linked with
    each other by the triangle inequality and only counted; all others are compared with every
    member, in pairs of blocks. So n_links is exact within components, without expanding copies.
-7. *Audit.* For a bounded sample of nodes all links are found by brute force, in one pass; if fewer
-   than ``least_recall`` of them lie within components, another round of seeds and descent follows.
+7. *Audit.* For a bounded sample of nodes all links are found by brute force, in one pass. Recall is
+   the mean over the sampled nodes with links of the share that lies within components, so that a
+   node in a huge group counts as much as one of an isolated pair; nodes outside large components are
+   also averaged alone, and the lesser figure holds. The sample grows until it has enough of those.
+   Under ``least_recall`` another round of seeds and descent follows.
 """
 
 from __future__ import annotations
@@ -33,6 +37,10 @@ from attesta.session import materialise
 
 BLOCK = 256  # rows of a seed block
 OVERLAP = 24
+SHARED = 0.9  # least chance that a pair at the threshold shares a bucket
+AUDIT_LINKED = 40  # sampled nodes with links outside large components, if the table has as many
+AUDIT_MOST = 6400  # sampled nodes
+LARGE = 0.01  # of all nodes: a large component
 PAIR_BLOCK = 1024  # members of a component compared in one task with as many others
 
 
@@ -199,23 +207,45 @@ def _link_pairs(threshold: float):
 
 
 def _brute(sample_ids: np.ndarray, sample: list[bytes], threshold: float):
+    """Rows (id, unit, component) -> (sampled node, component, its links there), added up by batch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_size = {}
         for i, u in zip(sample_ids.tolist(), sample):
             by_size.setdefault(len(u), []).append((i, u))
         for batch in batches:
-            raw, ids = batch.column(1).to_pylist(), batch.column(0).to_numpy()
+            raw, ids, components = batch.column(1).to_pylist(), batch.column(0).to_numpy(), batch.column(2).to_numpy()
             sizes = np.array([len(r) for r in raw])
             for size, own in by_size.items():
                 at = np.flatnonzero(sizes == size)
                 if len(at):
-                    s = np.frombuffer(b"".join([u for _, u in own]), np.float64).reshape(len(own), -1) @ np.frombuffer(b"".join([raw[i] for i in at]), np.float64).reshape(len(at), -1).T
-                    r, c = np.nonzero(s >= threshold)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.array([i for i, _ in own], np.int64)[r]), pa.array(ids[at][c])], names=["a", "b"])
+                    x, names = np.frombuffer(b"".join([raw[i] for i in at]), np.float64).reshape(len(at), -1).T, np.array([i for i, _ in own], np.int64)
+                    for lo in range(0, len(own), PAIR_BLOCK):
+                        near = np.frombuffer(b"".join([u for _, u in own[lo : lo + PAIR_BLOCK]]), np.float64).reshape(-1, len(x)) @ x >= threshold
+                        near &= names[lo : lo + PAIR_BLOCK, None] != ids[at][None, :]
+                        r, c = np.nonzero(near)
+                        pairs, links = np.unique(np.c_[names[lo + r], components[at][c]], axis=0, return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(links.astype(np.int64))], names=["a", "component", "links"])
 
     return run
 
 
+def audited(labelled: DataFrame, n: int, threshold: float, audit: int, salt: int) -> float | None:
+    """Recall of the links of sampled nodes of ``labelled`` (id, unit, component); None if none has a link."""
+    sizes = labelled.groupBy("component").agg(F.count("*").alias("size"))
+    while True:
+        drawn = labelled.orderBy(F.xxhash64("id", F.lit(salt))).limit(audit)
+        sample = drawn.join(sizes, "component").select("id", "unit", "component", "size").toPandas()  # AUDIT_MOST rows at most
+        truth = labelled.select("id", "unit", "component").mapInArrow(_brute(sample["id"].to_numpy(np.int64), list(sample["unit"]), threshold), "a long, component long, links long")
+        own = truth.join(F.broadcast(drawn.select(F.col("id").alias("a"), F.col("component").alias("mine"))), "a")
+        met = own.groupBy("a").agg((F.sum(F.when(F.col("component") == F.col("mine"), F.col("links")).otherwise(0)) / F.sum("links")).alias("share")).toPandas()
+        met = met.merge(sample[["id", "size"]], left_on="a", right_on="id")
+        small = met["share"][met["size"] <= max(LARGE * n, 2)]
+        if len(small) >= AUDIT_LINKED or audit >= min(n, AUDIT_MOST):
+            return min((float(c.mean()) for c in (met["share"], small) if len(c)), default=None)
+        audit = min(4 * audit, AUDIT_MOST)
+
+
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, k: int = 8, tables: int = 10, rounds: int = 2, audit: int = 400, least_recall: float = 0.97, attempts: int = 3) -> DataFrame:
     """id, n_links, component_id, kept, recall for every row of ``vectors``.
 
@@ -224,8 +254,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     empty, zero or hold null or non-finite components link with nothing and are their own component;
     vectors of different lengths never link. Rows that repeat an id are rows of their own: with
     equal vectors they are linked copies, with different ones they may be in different components. Rows with a null id link with
-    nothing and have a null component. ``recall`` is the audited share of links found. An empty
-    table gives an empty table.
+    nothing and have a null component. ``recall`` is the audited share of links found, null
+    if the audit met no link. ``tables`` is the least number of tables of seeds. An empty table gives an
+    empty table.
     """
     spark = vectors.sparkSession
     given = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
@@ -239,8 +270,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     n = nodes.count()
     bits = max(1, min(40, int(np.ceil(np.log2(max(n, 2) / 64)))))
     plain = nodes.select("id", "unit")
+    alike = 1 - float(np.arccos(np.clip(threshold, -1, 1))) / np.pi  # chance of one side of a hyperplane
+    if alike < 1:
+        tables = max(tables, int(np.ceil(np.log(1 - SHARED) / np.log1p(-(alike**bits)))))
     form = "a long, b long, sim double, tree boolean"
-    graph, recall, turn = None, 1.0, 0
+    graph, recall, turn = None, None, 0
     component = plain.select("id", F.col("id").alias("component"))
     for attempt in range(attempts):
         saturated = True
@@ -267,12 +301,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
             joined = connected_components(linked.select("a", "b").union(component.where("id <> component").select("id", "component")))
             component = materialise(plain.select("id").join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component")), "nn-components")
             turn += 1
-        sample = plain.orderBy(F.xxhash64("id", F.lit(attempt))).limit(audit).toPandas()  # audit rows at most
-        truth = plain.mapInArrow(_brute(sample["id"].to_numpy(np.int64), list(sample["unit"]), threshold), "a long, b long").where("a <> b")
-        ends = truth.join(component.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(component.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
-        hit, total = ends.agg(F.sum(F.when(F.col("ca") == F.col("cb"), 1).otherwise(0)), F.count("*")).first()
-        recall = hit / total if total else 1.0
-        if recall >= least_recall:
+        recall = audited(plain.join(component, "id"), n, threshold, audit, attempt) if n else None
+        if recall is None or recall >= least_recall:
             break
 
     # lists enlarged to components
@@ -314,4 +344,4 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     linked = live.join(named, "unit").select("id", "n_links", "component_id")
     alone = units.where("id is null or unit is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     rows = linked.unionByName(alone)
-    return rows.select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"), F.lit(float(recall)).alias("recall"))
+    return rows.select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"), F.lit(recall).cast("double").alias("recall"))

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from attesta.llm.nn_descent import near_duplicates
+from attesta.llm.nn_descent import audited, near_duplicates
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -98,3 +98,26 @@ def test_links_beside_full_lists(spark, pairs):
     rows = tight_pairs(np.random.default_rng(3), pairs)
     got = near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == brute(rows)
+
+
+def test_audit_sees_lost_pairs_beside_a_large_group(spark):
+    """A third of the nodes in one group that is found, all isolated pairs lost; and a table without links."""
+    rng = np.random.default_rng(4)
+    unit = lambda v: (v / np.linalg.norm(v)).tobytes()
+    centre, rows = rng.normal(size=32), []
+    for i in range(300):
+        rows.append((i, unit(centre + 0.01 * rng.normal(size=32)), 0))
+    for i in range(300, 900, 2):
+        v = rng.normal(size=32)
+        rows += [(i, unit(v), i), (i + 1, unit(v + 0.01 * rng.normal(size=32)), i + 1)]
+    schema = "id long, unit binary, component long"
+    assert audited(spark.createDataFrame(rows, schema), len(rows), 0.9, 400, 0) < 0.1
+    found = [(i, u, c if i < 300 else i // 2 * 2) for i, u, c in rows]
+    assert audited(spark.createDataFrame(found, schema), len(rows), 0.9, 400, 0) == 1
+    alone = [(i, unit(v), i) for i, v in enumerate(np.eye(32))]
+    assert audited(spark.createDataFrame(alone, schema), len(alone), 0.9, 400, 0) is None
+
+
+def test_nothing_measured_is_null(spark):
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(np.eye(20, dtype=np.float32))]
+    assert {(r.n_links, r.recall) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()} == {(0, None)}
