@@ -9,8 +9,8 @@ Everything is taken from the whole corpus:
 
 * The vocabulary is counted over all words of all documents. The most frequent words are tokens of
   their own, all others share hash buckets (so the model's size is fixed, the counts are not).
-* Training is data-parallel: in each round every partition trains the current network in numpy on a
-  fixed share of its positions, and the partitions' weights are averaged by their positions.
+* Training is data-parallel: in each round every partition trains the current network in numpy on
+  all its positions, and the partitions' weights are averaged by their positions.
 * Scoring covers every position of every text.
 """
 
@@ -251,8 +251,8 @@ def _average(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"piece": [int(pdf["piece"].iloc[0])], "lane": [int(pdf["lane"].iloc[0])], "seen": [int(seen.sum())], "weights": [(total / seen.sum()).astype(np.float32).tobytes()]})
 
 
-def fit(encoded: DataFrame, counts: np.ndarray, rounds: int = 2, share: int = 16, rate: float = 0.05, step: int = 2048, seed: int = 3) -> Network:
-    """A network trained on one position in ``share`` of every partition, in each of ``rounds`` rounds, averaged after each."""
+def fit(encoded: DataFrame, counts: np.ndarray, rounds: int = 2, share: int = 1, rate: float = 0.05, step: int = 2048, seed: int = 3) -> Network:
+    """A network trained on all positions of every partition (one in ``share`` if that is more than 1), in each of ``rounds`` rounds, averaged after each."""
     net = Network.fresh(counts)
     form = "piece int, lane int, seen long, weights binary"
     for k in range(rounds):
@@ -279,7 +279,7 @@ def _score(flat: np.ndarray):
     return run
 
 
-def pseudo_likelihood(docs: DataFrame, rounds: int = 2, share: int = 16) -> DataFrame:
+def pseudo_likelihood(docs: DataFrame, rounds: int = 2, share: int = 1) -> DataFrame:
     """doc_id, n_tokens, pseudo_log_likelihood, mean_log_probability, pseudo_perplexity of every row.
 
     Texts without words and null texts have no tokens: likelihood 0, mean and perplexity null.

@@ -71,3 +71,22 @@ def test_awkward_rows(spark, awkward):
     for r in out:
         assert (r.n_tokens == 0 and r.pseudo_log_likelihood == 0 and r.mean_log_probability is None) or (r.pseudo_log_likelihood < 0 and np.isfinite(r.pseudo_perplexity))
     assert M.pseudo_likelihood(awkward.limit(0)).count() == 0
+
+
+def test_registered_query_trains_on_every_position(spark, monkeypatch):
+    """In every round; and the scores of the registered query follow the language."""
+    from attesta.llm import queries as Q
+
+    d, seen, average = "/root/testdata/sf0.001", [], M.fit
+
+    def fit(encoded, counts, *args):
+        form = "piece int, lane int, seen long, weights binary"
+        sent = encoded.mapInArrow(M._train(M.Network.fresh(counts).flat, args[1], 0.05, 2048, 3), form)
+        seen.append((args[0], sent.where("piece = 0").agg(F.sum("seen")).first()[0], int(counts.sum())))
+        return average(encoded, counts, *args)
+
+    monkeypatch.setattr(M, "fit", fit)
+    mean = Q.op2_masked_pseudo_likelihood(spark, d).agg(F.sum("pseudo_log_likelihood") / F.sum("n_tokens")).first()[0]
+    (rounds, trained, tokens), (_, counts) = seen[0], M.count_vocabulary(spark.read.parquet(f"{d}/documents.parquet"))
+    p = counts / counts.sum()
+    assert rounds >= 1 and trained == tokens and mean > float((p[p > 0] * np.log(p[p > 0])).sum())
