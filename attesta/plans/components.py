@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from attesta.session import materialise
+from attesta.session import discard, materialise
 
 
 def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int = 100) -> DataFrame:
@@ -24,15 +24,18 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
     alone = pairs.where("u = v").select("u", "v")
     both = materialise(tied.union(tied.select("v", "u")).union(alone).distinct(), "cc-edges")
     labels = materialise(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")), "cc-labels")
+    written = labels
     for _ in range(max_rounds):
         told = both.join(labels, both["v"] == labels["node"]).groupBy(F.col("u").alias("n1")).agg(F.min("label").alias("heard"))
         best = labels.join(told, labels["node"] == told["n1"]).select("node", "label", F.least("label", "heard").alias("better"))
         jump = labels.select(F.col("node").alias("via"), F.col("label").alias("far"))
         new = best.join(jump, best["better"] == jump["via"], "left").select("node", F.least("better", "far").alias("label"), (F.least("better", "far") < F.col("label")).alias("changed"))
         new = materialise(new, "cc-labels")
-        labels = new.select("node", "label")
+        discard(written)
+        written, labels = new, new.select("node", "label")
         if new.where("changed").isEmpty():
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    discard(pairs, both)
     return labels.select("node", F.col("label").alias("component"))

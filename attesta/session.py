@@ -53,7 +53,30 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/attesta/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.attesta_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote, once everything that reads them has itself been written."""
+    for table in tables:
+        jvm = table.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table.attesta_path)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def quoted(column: str) -> str:
+    """A column's name as ``select`` takes it, whatever characters it holds."""
+    return "`" + column.replace("`", "``") + "`"
+
+
+def spare_name(columns: list[str], wanted: str) -> str:
+    """``wanted``, or with underscores added, so that it is none of ``columns`` (Spark ignores case)."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
 
 
 _SHIPPED: set[str] = set()
