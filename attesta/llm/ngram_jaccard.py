@@ -17,10 +17,14 @@ are built and searched block by block; what decides which documents meet in a bl
    by DivideSkip. The shorter lists are merged, candidates are then probed in the longer ones by
    binary search, and those that cannot reach T are let go. Documents already in one component are
    not compared again.
-4. *Large clusters.* A cluster of more than ``block`` documents is first verified against the hubs of
-   its signatures, which joins groups of near copies in linear work, however large they are. If
-   several components are left, its documents are dealt into blocks and each pair of blocks is
-   searched as above.
+4. *Large clusters.* A cluster of more than ``block`` documents or ``BLOCK_MEMBERS`` members is first
+   verified against the hubs of its signatures, which joins groups of near copies in linear work,
+   however large they are. If several components are left, what lies outside the largest one is
+   dealt into blocks and looked up in blocks of the whole cluster as above.
+
+Sets are compared by 64-bit hashes of their shingles. Hashes of different shingles of two documents
+with u distinct shingles together are equal with a chance of about u * u / 2**65 (u = 20,000: one in
+10**11), which alone could shift an overlap by one.
 """
 
 from __future__ import annotations
@@ -37,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from attesta.llm._arrow import mix, text_slices, word_hashes, words
 from attesta.plans.components import connected_components
-from attesta.session import materialise
+from attesta.session import discard, materialise, quoted, spare_name
 
 _K = [np.uint64(k) for k in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
@@ -60,7 +64,7 @@ def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
             if b - a >= n:
                 yield np.unique(full[a : b - n + 1])
             elif b > a:
-                yield mix(np.array([np.sum(h[a:b] * salts[b - a - 1][: b - a]) + _K[4] * np.uint64(b - a)], np.uint64))
+                yield mix(np.sum(h[a:b] * salts[b - a - 1][: b - a], keepdims=True) + _K[4] * np.array([b - a], np.uint64))
             else:
                 yield h[:0]
 
@@ -83,9 +87,14 @@ class Bands:
         self.edges_np = np.array(self.edges, np.int64)
         # what meets in band i are sizes below edges[i + 1]
         self.differ = [int((1 - t) * 2 * (hi - 1) / (1 + t)) for hi in self.edges[1:]]
-        self.shared = [1 + d // 4 for d in self.differ]
+        self.shared = [1 + d // 6 for d in self.differ]
         self.segments = [d + s for d, s in zip(self.differ, self.shared)]
 
+    def differences(self, size: int, band: int) -> int:
+        """Most members by which a set of ``size`` differs from a similar one that it meets in the band."""
+        partner = min(size * self.t.denominator // self.t.numerator, self.edges[band + 1] - 1)
+        return int((1 - self.t) * (size + partner) / (1 + self.t))
+
     def of(self, size: int) -> int:
         return int(np.searchsorted(self.edges_np, size, "right")) - 1
 
@@ -93,14 +102,19 @@ class Bands:
 def signatures(members: np.ndarray, bands: Bands) -> list[tuple[int, np.ndarray]]:
     """(least number shared with a similar set, segment signatures) of one set, for its own band and, near its upper edge, the next one.
 
-    Empty segments may be equal too. With e of them a set shares T - e full ones at least; a set
-    with T or more empty segments gives signatures to these as well.
+    T follows from the set's own size, so that the small sets of a band, whose segments hold few
+    members, must share many. Empty segments may be equal too. With e of them a set shares T - e
+    full ones at least; a set with T or more empty segments gives signatures to these as well. If a
+    set must share more than the band's least number L, those among its signatures that come last
+    by value are left out, as many as it must share beyond L: the first L that two similar sets
+    share are then in both.
     """
     out = []
     band = bands.of(len(members))
     mixed = mix(members + _K[1])
     for i in (band, band + 1) if len(members) / bands.t >= bands.edges[band + 1] else (band,):
-        k, t = bands.segments[i], bands.shared[i]
+        k = bands.segments[i]
+        t = k - bands.differences(len(members), i)
         salt = np.array([i], np.uint64) * _K[3]
         segment = ((members >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
         # members are sorted, so segments are runs
@@ -109,7 +123,11 @@ def signatures(members: np.ndarray, bands: Bands) -> list[tuple[int, np.ndarray]
         if (empty := k - len(heads)) >= t:
             none = np.setdiff1d(np.arange(k, dtype=np.uint64), segment[heads])
             sigs = np.r_[sigs, mix(mix(none * _K[2] + salt) + _K[4])]
-        out.append((max(1, t - empty), sigs))
+        least = max(1, t - empty)
+        keep = min(least, bands.shared[i])
+        if keep < least:  # any subset in a common order will do: the last ones by value need not be sent
+            sigs = np.sort(sigs)[: len(sigs) - (least - keep)]
+        out.append((keep, sigs))
     return out
 
 
@@ -155,28 +173,6 @@ def _sets(n: int):
     return run
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (sig, node) in that order -> (hub, node), the hub being the smallest node of a signature; a run may span batches, so its hub goes along.
-
-    The smallest node of a group of near copies leads most of the group's signatures, so hubs are few.
-    """
-    last, low = None, 0
-    for batch in batches:
-        sig, node = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-        if not len(sig):
-            continue
-        new = np.r_[True, sig[1:] != sig[:-1]]
-        lows = node[new].copy()
-        if last is not None and sig[0] == last:
-            lows[0] = low
-        last, low = sig[-1], lows[-1]
-        hubs = lows[np.cumsum(new) - 1]
-        keep = hubs != node
-        if keep.any():
-            pairs = np.unique(np.stack([hubs[keep], node[keep]], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-
 def _verify(t: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,12 +257,10 @@ def search_links(left: list[np.ndarray], right: list[np.ndarray], left_parts: np
 
 
 def _search_pairs(t: Fraction):
-    """One pair of blocks of a large cluster."""
+    """A block of a large cluster (side 0) in which a block of lookups (side 1) is searched."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        if right.empty:  # a block against itself
-            right = left
         sets = [[np.frombuffer(x, np.uint64) for x in side["members"]] for side in (left, right)]
         links = search_links(*sets, left["component"].to_numpy(), right["component"].to_numpy(), t)
         a, b = left["node"].to_numpy(), right["node"].to_numpy()
@@ -299,6 +293,8 @@ def _search_clusters(t: Fraction):
     return run
 
 
+#: Members (8 bytes each) of the sets that are searched in one block.
+BLOCK_MEMBERS = 2_000_000
 #: Ids are sent to all executors up to this many (8 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -348,55 +344,69 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, n: int, t: Fraction, b
     routes = routes.select("node", F.posexplode("routes").alias("slot", "r")).select("node", "slot", "r.least", F.explode("r.sigs").alias("sig"))
     common = routes.withColumn("df", F.count("*").over(Window.partitionBy("sig"))).where("df > 1")
     own = Window.partitionBy("node", "slot")
-    kept = common.withColumn("n", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("df", "sig"))).where("place <= n - least + 1").select("sig", "node")
-    stars = materialise(kept.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_stars, "a long, b long").distinct(), "jaccard-candidates")
+    kept = common.withColumn("n", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("df", "sig"))).where("place <= n - least + 1")
+    kept = materialise(kept.select("sig", "node"), "jaccard-kept")
+    # the smallest node of a group of near copies leads most of the group's signatures, so hubs are few
+    hubs = kept.groupBy("sig").agg(F.min("node").alias("a"))
+    stars = materialise(kept.join(hubs, "sig").where("a <> node").select("a", F.col("node").alias("b")).distinct(), "jaccard-candidates")
 
     cluster = connected_components(stars).withColumnRenamed("component", "cluster")
-    sizes = cluster.groupBy("cluster").agg(F.count("*").alias("n"))
-    nodes = materialise(cluster.join(sizes, "cluster"), "jaccard-clusters")
-    near = texts.join(_bounded(nodes), "node").select("node", "text", "cluster", "n").mapInArrow(_sets(n), "node long, members binary, cluster long, n long")
+    cluster = materialise(cluster.join(full.select("node", "size").groupBy("node").agg(F.max("size").alias("size")), "node"), "jaccard-members")
+    sizes = cluster.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("size").alias("total")).select("cluster", (F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("total") / BLOCK_MEMBERS))).alias("blocks"))
+    nodes = materialise(cluster.join(sizes, "cluster").select("node", "cluster", "blocks"), "jaccard-clusters")
+    near = texts.join(_bounded(nodes), "node").select("node", "text", "cluster", "blocks").mapInArrow(_sets(n), "node long, members binary, cluster long, blocks long")
     if not full.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").isEmpty():  # ids that repeat
         near = near.distinct()
     near = materialise(near, "jaccard-sets")
 
     # 3. search
-    small = near.where(F.col("n") <= block).select("cluster", "node", "members").repartition("cluster").sortWithinPartitions("cluster", "node")
+    small = near.where("blocks = 1").select("cluster", "node", "members").repartition("cluster").sortWithinPartitions("cluster", "node")
     linked = small.mapInArrow(_search_clusters(t), "a long, b long")
 
-    # 4. large clusters: hubs first, then pairs of blocks
-    large = near.where(F.col("n") > block)
+    # 4. large clusters: hubs first, then what they do not join
+    large = near.where("blocks > 1")
     if not large.isEmpty():
         x, y = large.select(F.col("node").alias("a"), F.col("members").alias("x")), large.select(F.col("node").alias("b"), F.col("members").alias("y"))
         sized = F.expr(f"octet_length(x) * {t.numerator} <= octet_length(y) * {t.denominator} and octet_length(y) * {t.numerator} <= octet_length(x) * {t.denominator}")
         # each document against its smallest hub
         first = stars.groupBy("b").agg(F.min("a").alias("a"))
-        hubs = materialise(first.join(x, "a").join(y, "b").where(sized).select("a", "b", "x", "y").mapInArrow(_verify(t), "a long, b long"), "jaccard-hubs")
-        found = connected_components(hubs)
-        members = large.select("node", "cluster").join(found, "node", "left").select("node", "cluster", F.coalesce("component", "node").alias("component"))
-        open_ = members.groupBy("cluster").agg(F.count("*").alias("n"), F.countDistinct("component").alias("parts")).where("parts > 1").select("cluster", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-        dealt = members.join(open_, "cluster").join(large.select("node", "members"), "node").withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
-        # block i meets every block j >= i as the left side, every j < i as the right one
-        meets = dealt.select("cluster", "node", "component", "members", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")).select(
-            "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.expr("cast(own > other as int)").alias("side"), "node", "component", "members"
-        )
-        linked = linked.union(hubs).union(meets.groupBy("cluster", "i", "j").applyInPandas(_search_pairs(t), "a long, b long"))
+        joined = materialise(first.join(x, "a").join(y, "b").where(sized).select("a", "b", "x", "y").mapInArrow(_verify(t), "a long, b long"), "jaccard-hubs")
+        members = large.select("node", "cluster").distinct().join(connected_components(joined), "node", "left").select("node", "cluster", F.coalesce("component", "node").alias("component"))
+        parts = materialise(members.groupBy("cluster", "component").agg(F.count("*").alias("n")), "jaccard-parts")
+        lead = parts.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("lead"), F.count("*").alias("parts")).where("parts > 1").select("cluster", "lead")
+        dealt = materialise(members.join(lead, "cluster").withColumn("outside", F.col("component") != F.col("lead")), "jaccard-open").join(large.select("node", "members", "blocks"), "node")
+        # blocks of what lies outside (they are as many as its documents and members ask for) meet all blocks of the cluster
+        rows = dealt.groupBy("cluster").agg(F.count(F.when(F.col("outside"), 1)).alias("n"), F.sum(F.when(F.col("outside"), F.octet_length("members") / 8)).alias("total"))
+        queries = rows.select("cluster", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("total") / BLOCK_MEMBERS)).alias("lookups"))
+        dealt = dealt.join(queries, "cluster").withColumn("i", F.expr("cast(pmod(xxhash64(node), lookups) as int)")).withColumn("j", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+        asked = dealt.where("outside").select("cluster", "i", F.explode(F.expr("sequence(0, cast(blocks as int) - 1)")).alias("j"), F.lit(1).alias("side"), "node", "component", "members")
+        index = dealt.select("cluster", F.explode(F.expr("sequence(0, cast(lookups as int) - 1)")).alias("i"), "j", F.lit(0).alias("side"), "node", "component", "members")
+        linked = linked.union(joined).union(index.unionByName(asked).groupBy("cluster", "i", "j").applyInPandas(_search_pairs(t), "a long, b long"))
 
     component = connected_components(copies.union(linked))
+    discard(classes, copies, kept, stars, cluster, nodes, near)
     return digests.join(component, "node", "left").select(
         F.col("node").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"), F.col("d1").alias("set_digest_1"), F.col("d2").alias("set_digest_2")
     )
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents of ``docs`` less all but the smallest id of each component; columns as they came.
+    """The documents of ``docs`` less all but one of each component; columns as they came, whatever their names.
 
-    Of rows that repeat a kept id one stays (one with the smallest text); rows with a null id all stay.
+    Every row is a document. The row with the smallest id stays; of rows with the same id the one
+    with the smallest digest of its text, and a null id comes after all others. Rows without words
+    link with nothing, so all of them stay, repeated ones too; texts of any length are read whole.
+    Ties at the threshold are links. An empty table gives an empty table.
     """
-    dropped = materialise(jaccard_classes(docs, **options).where("component_id <> doc_id").select("doc_id").distinct(), "jaccard-dropped")
-    left = docs.join(_bounded(dropped), "doc_id", "left_anti").select(*docs.columns)
-    repeated = materialise(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id"), "jaccard-repeated")
-    if repeated.isEmpty():
-        return left
-    once = left.join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    several = left.join(repeated, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("_id")).agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("_row"))
-    return once.unionByName(several.select("_row.*"))
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
+    if ids.where("n > 1 or doc_id is null").isEmpty():
+        dropped = materialise(jaccard_classes(docs, **options).where("component_id <> doc_id").select("doc_id"), "jaccard-dropped")
+        return docs.join(_bounded(dropped), "doc_id", "left_anti").select(*map(quoted, docs.columns))
+    # ids are missing or repeat: rows are numbered, the numbers fixed by writing them
+    row = spare_name(docs.columns, "row")
+    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "jaccard-numbered")
+    classes = jaccard_classes(numbered, id_col=row, **options).select(row, "component_id")
+    order = numbered.select(row, F.struct(F.col("doc_id").isNull(), "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256), row).alias("order"))
+    first = classes.join(order, row).groupBy("component_id").agg(F.min("order").alias("first"))
+    kept = materialise(first.select(F.col("first").getField(row).alias(row)), "jaccard-kept-rows")
+    return numbered.join(kept, row, "left_semi").select(*map(quoted, docs.columns))

@@ -100,4 +100,22 @@ def test_awkward_rows(spark, awkward):
     kept = J.keep_one(awkward)
     assert kept.columns == awkward.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 2, 3, 4, 5, 6, 8] and kept.where("doc_id is null").count() == 2
+    assert J.keep_one(awkward.limit(0)).count() == 0
     assert J.jaccard_classes(awkward.limit(0)).count() == 0
+
+
+def test_keep_one_keeps_every_distinct_text(spark):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(1, a, "x", 1), (5, a, "y", 2), (5, b, "z", 3), (None, b, "w", 4), (None, a + " more", "v", 5), (7, None, "u", 6), (7, None, "u", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string, `n.a me` long")
+    kept = J.keep_one(docs, n=5, threshold="0.8")
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=lambda r: r[3]) == [rows[0], rows[2], rows[5], rows[6]]
+    plain = spark.createDataFrame([(1, a), (2, b), (3, b + " more")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in J.keep_one(plain, n=5, threshold="0.8").collect()) == [1, 2]
+
+
+def test_blocks_are_bounded_by_members(spark, monkeypatch):
+    docs = family(random.Random(7), 8)
+    monkeypatch.setattr(J, "BLOCK_MEMBERS", 300)
+    assert rows(J.jaccard_classes(spark.createDataFrame(docs, "doc_id long, text string"), n=2, threshold="0.8")) == brute(docs, 2, 80)
