@@ -2,15 +2,20 @@
 
 The network sees the ``WINDOW`` tokens on either side of a position, never the token itself: their
 embeddings, scaled by position, are added and squashed to a hidden vector, and a two-level softmax
-(class of the token, token within its class) gives the token's conditional probability. A document's
+(class of the token, token within its class) gives the token's conditional probability. Words
+outside the most frequent ones share tokens (hash buckets); such a word's probability is its
+bucket's times its share of the bucket, which is masked like the rest: it is counted over all other
+documents, plus ``ALPHA``, so a word that only this document has is an unseen one. A document's
 score is the sum of the logarithms over all its positions.
 
-Everything is taken from the whole corpus:
+Everything is taken from the whole corpus, and what is taken grows with it:
 
-* The vocabulary is counted over all words of all documents. The most frequent words are tokens of
-  their own, all others share hash buckets (so the model's size is fixed, the counts are not).
-* Training is data-parallel: in each round every partition trains the current network in numpy on
-  all its positions, and the partitions' weights are averaged by their positions.
+* All words of all documents are counted, and every word's own count enters the scores of the
+  documents that hold it, by a join on the word. Only the most frequent words and the buckets' sums
+  (fixed numbers of both) go to every executor.
+* Training is data-parallel: every partition trains the current network in numpy, each of its
+  positions in exactly one of the rounds, and after each round the partitions' weights are averaged
+  by their positions.
 * Scoring covers every position of every text.
 """
 
@@ -35,6 +40,7 @@ WINDOW = 2
 DIM = 16
 PAD = VOCAB
 BATCH = 1 << 15
+ALPHA = 0.1  # occurrences added to a word's count in other documents
 _PIECE = 1 << 14  # floats in a row of sent weights
 _SHAPES = {"embed": (VOCAB + 1, DIM), "scale": (2 * WINDOW, DIM), "shift": (DIM,), "class_w": (CLASSES, DIM), "class_b": (CLASSES,), "word_w": (CLASSES, IN_CLASS, DIM), "word_b": (CLASSES, IN_CLASS)}
 _SIZE = sum(int(np.prod(s)) for s in _SHAPES.values())
@@ -72,7 +78,7 @@ class Network:
         a -= a.max(1, keepdims=True)
         np.exp(a, out=a)
         a /= a.sum(1, keepdims=True)
-        order = np.argsort(classes, kind="stable")
+        order = np.argsort(classes.astype(np.uint8), kind="stable")
         ends = np.searchsorted(classes[order], np.arange(CLASSES + 1))
         inner = []
         for c in range(CLASSES):
@@ -114,9 +120,10 @@ class Network:
         for j in range(2 * WINDOW):
             e = self.embed[context[:, j]]
             g.scale[j] = (dh * e).sum(0)
-            order = np.argsort(context[:, j], kind="stable")
-            ids, first = np.unique(context[order, j], return_index=True)
-            g.embed[ids] += np.add.reduceat((dh * self.scale[j])[order], first, axis=0)
+            order = np.argsort(context[:, j].astype(np.uint16), kind="stable")
+            ids = context[order, j]
+            first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+            g.embed[ids[first]] += np.add.reduceat((dh * self.scale[j])[order], first, axis=0)
         return g.flat
 
     def train(self, batches: Iterator[tuple[np.ndarray, np.ndarray]], rate: float) -> int:
@@ -162,29 +169,38 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Vocabulary:
-    """Word hashes of the frequent words and how tokens are numbered: by falling count, so that classes hold tokens of like counts."""
+    """Word hashes of the frequent words and how tokens are numbered: by falling count, so that classes hold tokens of like counts.
 
-    def __init__(self, frequent: np.ndarray, number: np.ndarray, bucket_number: np.ndarray):
-        self.frequent, self.number, self.bucket_number = frequent, number, bucket_number
+    ``total`` and ``distinct`` are the occurrences and the number of the words in each bucket.
+    """
+
+    def __init__(self, frequent: np.ndarray, number: np.ndarray, bucket_number: np.ndarray, total: np.ndarray, distinct: np.ndarray):
+        self.frequent, self.number, self.bucket_number, self.total, self.distinct = frequent, number, bucket_number, total, distinct
 
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        out = self.bucket_number[(hashes >> np.uint64(20)) % np.uint64(BUCKETS)]
+    def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of words, and which of them are buckets."""
+        out = self.bucket_number[self.bucket_of(hashes)]
+        known = np.zeros(len(hashes), bool)
         if len(self.frequent):
             at = np.minimum(np.searchsorted(self.frequent, hashes), len(self.frequent) - 1)
             known = self.frequent[at] == hashes
             out = np.where(known, self.number[at], out)
-        return out.astype(np.uint16)
+        return out.astype(np.uint16), ~known
+
+    def bucket_of(self, hashes: np.ndarray) -> np.ndarray:
+        return ((hashes >> np.uint64(20)) % np.uint64(len(self.total))).astype(np.int64)
 
 
-def count_vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, np.ndarray]:
-    """The vocabulary of all words of all texts, and the counts of its tokens by number."""
+def count_vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, np.ndarray, DataFrame]:
+    """The vocabulary of all words of all texts, the counts of its tokens by number, and the table of all words (word, n)."""
     counts = materialise(docs.select(text_col).mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
     top = counts.orderBy(F.desc("n"), "word").limit(WORDS)
     frequent = top.toPandas()  # WORDS rows at most
     bucket = F.expr(f"pmod(shiftrightunsigned(word, 20), {BUCKETS})")
-    rest = counts.join(F.broadcast(top.select("word")), "word", "left_anti").groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n")).toPandas()  # BUCKETS rows at most
-    in_bucket = np.zeros(BUCKETS, np.int64)
+    rest = counts.join(F.broadcast(top.select("word")), "word", "left_anti").groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).toPandas()  # BUCKETS rows at most
+    in_bucket, distinct = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     in_bucket[rest["bucket"].to_numpy(np.int64)] = rest["n"].to_numpy(np.int64)
+    distinct[rest["bucket"].to_numpy(np.int64)] = rest["words"].to_numpy(np.int64)
     hashes, own = frequent["word"].to_numpy(np.int64).view(np.uint64), frequent["n"].to_numpy(np.int64)
     everything = np.r_[own, np.zeros(WORDS - len(own), np.int64), in_bucket]
     number = np.empty(VOCAB, np.int64)
@@ -192,23 +208,60 @@ def count_vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[Vocabular
     order = np.argsort(hashes)
     totals = np.zeros(VOCAB, np.int64)
     totals[number] = everything
-    return Vocabulary(hashes[order], number[: len(hashes)][order], number[WORDS:]), totals
+    return Vocabulary(hashes[order], number[: len(hashes)][order], number[WORDS:], in_bucket, distinct), totals, counts
+
+
+_ENCODED = "row long, doc_id long, ids binary, rare binary, rare_n binary, shared double"
 
 
 def _encode(vocabulary: Vocabulary):
+    """Rows (row, doc_id, text) -> tokens, the distinct words in buckets with their counts, and minus the logarithms of the buckets' sums elsewhere."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in text_slices(batch.column(1)):
+            for lo, hi, data, offsets in text_slices(batch.column(2)):
                 starts, stops, first = words(data, offsets)
-                raw = vocabulary.ids(word_hashes(data, starts, stops)).astype("<u2").tobytes()
+                hashes = word_hashes(data, starts, stops)
+                tokens, rare = vocabulary.ids(hashes)
+                raw = tokens.astype("<u2").tobytes()
                 ids = [raw[2 * a : 2 * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+                at = np.flatnonzero(rare)
+                text = np.searchsorted(first, at, "right") - 1
+                order = np.lexsort((hashes[at], text))
+                text, word = text[order], hashes[at][order]
+                head = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (text[1:] != text[:-1])][: len(word)])
+                n = np.diff(np.r_[head, len(word)])
+                text, word = text[head], word[head]
+                # per text and bucket: occurrences elsewhere
+                where, inverse = np.unique(text * len(vocabulary.total) + vocabulary.bucket_of(word), return_inverse=True)
+                here = np.bincount(inverse, n, len(where))
+                b = where % len(vocabulary.total)
+                logs = here * np.log(vocabulary.total[b] - here + ALPHA * vocabulary.distinct[b])
+                shared = -np.bincount(where // len(vocabulary.total), logs, hi - lo)
+                cuts = np.searchsorted(text, np.arange(hi - lo + 1)).tolist()
+                words_raw, n_raw = word.astype("<u8").tobytes(), n.astype("<u4").tobytes()
+                spans = list(zip(cuts[:-1], cuts[1:]))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(ids, pa.binary()), pa.array([words_raw[8 * x : 8 * y] for x, y in spans], pa.binary()), pa.array([n_raw[4 * x : 4 * y] for x, y in spans], pa.binary()), pa.array(shared)],
+                    names=["row", "doc_id", "ids", "rare", "rare_n", "shared"],
+                )
 
     return run
 
 
+def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, word, own) of the words in buckets."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 1000):
+            cut = batch.slice(lo, 1000)
+            rare = cut.column(1).to_pylist()
+            row = np.repeat(cut.column(0).to_numpy(), [len(r) // 8 for r in rare])
+            own = np.frombuffer(b"".join(cut.column(2).to_pylist()), "<u4")
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(np.frombuffer(b"".join(rare), "<i8")), pa.array(own.astype(np.int32))], names=["row", "word", "own"])
+
+
 def _runs(batches: Iterator[pa.RecordBatch], tokens: int = 1 << 18) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
-    """(ids of the rows, tokens, where each row begins and the end) for runs of rows; a longer text makes a run of its own."""
+    """(numbers of the rows, tokens, where each row begins and the end) for runs of rows (row, ids); a longer text makes a run of its own."""
     for batch in batches:
         ids = batch.column(1).to_pylist()
         lo = 0
@@ -221,14 +274,17 @@ def _runs(batches: Iterator[pa.RecordBatch], tokens: int = 1 << 18) -> Iterator[
             lo = hi
 
 
-def _train(flat: np.ndarray, share: int, rate: float, step: int, seed: int):
+def _train(flat: np.ndarray, turn: int, turns: int, lanes: int, rate: float, step: int, seed: int):
+    """Trains on those positions of a partition whose turn it is; each has one of ``turns``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        net, rng = Network(flat.copy()), np.random.default_rng([seed, part])
+        net = Network(flat.copy())
 
         def positions():
-            for _, ids, first in _runs(batches):
-                pick = np.flatnonzero(rng.random(len(ids)) < 1 / share)
+            for count, (_, ids, first) in enumerate(_runs(batches)):
+                rng = np.random.default_rng([seed, count])
+                pick = np.flatnonzero(rng.integers(0, turns, len(ids)) == turn)
                 rng.shuffle(pick)
                 for lo in range(0, len(pick), step):
                     at = pick[lo : lo + step]
@@ -237,7 +293,7 @@ def _train(flat: np.ndarray, share: int, rate: float, step: int, seed: int):
         seen = net.train(positions(), rate)
         if seen:
             pieces = [net.flat[k : k + _PIECE] for k in range(0, _SIZE, _PIECE)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array([part % 16] * len(pieces), pa.int32()), pa.array([seen] * len(pieces), pa.int64()), pa.array([p.tobytes() for p in pieces], pa.binary())], names=["piece", "lane", "seen", "weights"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array([part % lanes] * len(pieces), pa.int32()), pa.array([seen] * len(pieces), pa.int64()), pa.array([p.tobytes() for p in pieces], pa.binary())], names=["piece", "lane", "seen", "weights"])
 
     return run
 
@@ -251,12 +307,17 @@ def _average(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"piece": [int(pdf["piece"].iloc[0])], "lane": [int(pdf["lane"].iloc[0])], "seen": [int(seen.sum())], "weights": [(total / seen.sum()).astype(np.float32).tobytes()]})
 
 
-def fit(encoded: DataFrame, counts: np.ndarray, rounds: int = 2, share: int = 1, rate: float = 0.05, step: int = 2048, seed: int = 3) -> Network:
-    """A network trained on all positions of every partition (one in ``share`` if that is more than 1), in each of ``rounds`` rounds, averaged after each."""
+def fit(encoded: DataFrame, counts: np.ndarray, rounds: int = 2, rate: float = 0.1, step: int = 8192, seed: int = 3) -> Network:
+    """A network trained on all positions of ``encoded`` (row, ids), each in one of ``rounds`` rounds; the partitions' weights are averaged after each.
+
+    Averaging has two levels, of about the root of the number of partitions each.
+    """
     net = Network.fresh(counts)
     form = "piece int, lane int, seen long, weights binary"
+    parts = encoded.select(F.spark_partition_id().alias("part")).distinct().count()
+    lanes = max(1, int(np.sqrt(parts)))
     for k in range(rounds):
-        sent = encoded.mapInArrow(_train(net.flat, share, rate / (k + 1), step, seed + k), form)
+        sent = encoded.select("row", "ids").mapInArrow(_train(net.flat, k, rounds, lanes, rate / (k + 1), step, seed), form)
         mean = sent.groupBy("piece", "lane").applyInPandas(_average, form).groupBy("piece").applyInPandas(_average, form).toPandas()  # one model
         if len(mean):
             net = Network(np.frombuffer(b"".join(mean.sort_values("piece")["weights"]), np.float32).copy())
@@ -266,29 +327,37 @@ def fit(encoded: DataFrame, counts: np.ndarray, rounds: int = 2, share: int = 1,
 def _score(flat: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network(flat)
-        for names, ids, first in _runs(batches):
+        for rows, ids, first in _runs(batches):
             logs = np.empty(len(ids), np.float64)
             for lo in range(0, len(ids), BATCH):
                 at = np.arange(lo, min(lo + BATCH, len(ids)))
                 logs[at] = net.log_probabilities(contexts(ids, first, at), ids[at])
             sums = np.r_[0, np.cumsum(logs)]
-            n = np.diff(first)
-            total = sums[first[1:]] - sums[first[:-1]]
-            yield pa.RecordBatch.from_arrays([names, pa.array(n), pa.array(np.where(n > 0, total, 0.0))], names=["doc_id", "n_tokens", "pseudo_log_likelihood"])
+            yield pa.RecordBatch.from_arrays([rows, pa.array(np.diff(first)), pa.array(sums[first[1:]] - sums[first[:-1]])], names=["row", "n_tokens", "tokens_log"])
 
     return run
 
 
-def pseudo_likelihood(docs: DataFrame, rounds: int = 2, share: int = 1) -> DataFrame:
-    """doc_id, n_tokens, pseudo_log_likelihood, mean_log_probability, pseudo_perplexity of every row.
+def pseudo_likelihood(docs: DataFrame, rounds: int = 2) -> DataFrame:
+    """doc_id, mean_log_probability, pseudo_log_likelihood, pseudo_perplexity, n_tokens, n_unshared of every row.
 
-    Texts without words and null texts have no tokens: likelihood 0, mean and perplexity null.
-    Repeated and null ids are rows like others; other columns are not read; an empty table gives an
-    empty table.
+    ``n_unshared`` counts the tokens whose word no other row has (words among the most frequent are
+    taken to be shared). Texts without words and null texts have no tokens: likelihood 0, mean and
+    perplexity null. Texts of any length are scored whole, in runs of a bounded number of positions.
+    Repeated and null ids are rows like others, and equal rows get equal scores (up to rounding);
+    other columns are not read, whatever their names; an empty table gives an empty table.
     """
-    vocabulary, counts = count_vocabulary(docs)
-    encoded = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encode(vocabulary), "doc_id long, ids binary"), "lm-ids")
-    net = fit(encoded, counts, rounds, share)
-    scored = encoded.mapInArrow(_score(net.flat), "doc_id long, n_tokens long, pseudo_log_likelihood double")
+    vocabulary, counts, every_word = count_vocabulary(docs)
+    given = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    encoded = materialise(given.mapInArrow(_encode(vocabulary), _ENCODED), "lm-ids")
+    net = fit(encoded, counts, rounds)
+    scored = encoded.select("row", "ids").mapInArrow(_score(net.flat), "row long, n_tokens long, tokens_log double")
+    # every word in a bucket meets its count
+    flat = encoded.select("row", "rare", "rare_n").mapInArrow(_flat, "row long, word long, own int").join(every_word, "word")
+    elsewhere = F.col("n") - F.col("own")
+    share = flat.groupBy("row").agg(F.sum(F.col("own") * F.log(elsewhere + ALPHA)).alias("share"), F.sum(F.when(elsewhere == 0, F.col("own")).otherwise(0)).alias("n_unshared"))
+    joined = encoded.select("row", "doc_id", "shared").join(scored, "row").join(share, "row", "left")
+    total = F.col("tokens_log") + F.coalesce(F.col("shared") + F.col("share"), F.lit(0.0))
+    out = joined.select("doc_id", "n_tokens", total.alias("pseudo_log_likelihood"), F.coalesce("n_unshared", F.lit(0)).cast("long").alias("n_unshared"))
     mean = F.when(F.col("n_tokens") > 0, F.col("pseudo_log_likelihood") / F.col("n_tokens"))
-    return scored.withColumn("mean_log_probability", mean).withColumn("pseudo_perplexity", F.exp(-mean))
+    return out.select("doc_id", mean.alias("mean_log_probability"), "pseudo_log_likelihood", F.exp(-mean).alias("pseudo_perplexity"), "n_tokens", "n_unshared")

@@ -1,8 +1,10 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from attesta.llm import masked_lm as M
+from attesta.llm._arrow import text_slices, word_hashes, words
 
 
 def some(rng, n):
@@ -40,29 +42,72 @@ def test_contexts_leave_the_token_and_other_texts_out():
 
 
 def test_vocabulary_counts_all_words(spark, documents):
-    vocabulary, counts = M.count_vocabulary(documents)
+    vocabulary, counts, every = M.count_vocabulary(documents)
     total = sum(len(r.text.split()) for r in documents.collect())
     assert counts.sum() == pytest.approx(total, rel=0.001) and (np.diff(counts) <= 0).all()
+    assert every.agg(F.sum("n")).first()[0] == counts.sum() and vocabulary.distinct.sum() + len(vocabulary.frequent) == every.count()
+
+
+def tokens(vocabulary, text):
+    for _, _, data, offsets in text_slices(pa.array([text])):
+        starts, stops, _ = words(data, offsets)
+        hashes = word_hashes(data, starts, stops)
+        return hashes, vocabulary.ids(hashes)[0].astype(np.int64)
 
 
 def test_scores_follow_the_language(spark):
+    """With the training of the registered query."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    out = M.pseudo_likelihood(docs, rounds=2, share=2)
-    assert out.count() == docs.count()
-    vocabulary, counts = M.count_vocabulary(docs)
-    p = counts / counts.sum()
-    unigram = float((p[p > 0] * np.log(p[p > 0])).sum())
-    mean = out.agg(F.sum("pseudo_log_likelihood") / F.sum("n_tokens")).first()[0]
-    assert mean > unigram + 0.1  # both sides tell something
-    rng = np.random.default_rng(2)
-    texts = [r.text.split() for r in docs.limit(60).collect()]
-    mixed = [(i, " ".join(rng.permutation(t)), "o") for i, t in enumerate(texts) if len(t) > 50] + [(i, " ".join(t), "s") for i, t in enumerate(texts) if len(t) > 50]
-    df = spark.createDataFrame(mixed, "doc_id long, text string, kind string")
-    net = M.fit(docs.select("doc_id", "text").mapInArrow(M._encode(vocabulary), "doc_id long, ids binary"), counts, share=2)
-    scored = df.select(F.when(F.col("kind") == "s", F.col("doc_id")).otherwise(-1 - F.col("doc_id")).alias("doc_id"), "text").mapInArrow(M._encode(vocabulary), "doc_id long, ids binary").mapInArrow(M._score(net.flat), "doc_id long, n_tokens long, s double").collect()
-    by = {r.doc_id: r.s for r in scored}
-    better = [by[i] > by[-1 - i] for i in by if i >= 0]
+    vocabulary, counts, _ = M.count_vocabulary(docs)
+    given = docs.select(F.col("doc_id").alias("row"), "doc_id", "text")
+    net = M.fit(given.mapInArrow(M._encode(vocabulary), M._ENCODED), counts)
+    rng, better, logs = np.random.default_rng(2), [], []
+    for r in docs.limit(80).collect():
+        ids = tokens(vocabulary, r.text)[1] if r.text else []
+        if len(ids) > 50:
+            mixed, at, first = rng.permutation(ids), np.arange(len(ids)), np.array([0, len(ids)])
+            own = net.log_probabilities(M.contexts(ids, first, at), ids)
+            better.append(own.sum() > net.log_probabilities(M.contexts(mixed, first, at), mixed).sum())
+            logs.append((own - np.log(counts[ids] / counts.sum())).mean())
     assert np.mean(better) > 0.8
+    assert np.mean(logs) > 0.1  # both sides tell something
+
+
+def test_against_a_loop_over_positions(spark, monkeypatch):
+    """Each position alone, with full softmax sums, and shares counted over the texts themselves."""
+    rng = np.random.default_rng(4)
+    vocab = [f"w{k}" for k in range(60)]
+    texts = [" ".join(rng.choice(vocab, rng.integers(1, 40))) + (f" only{k}" if k % 2 else "") for k in range(12)] + ["", None]
+    texts += [texts[1]]
+    kept = []
+    fit = M.fit
+    monkeypatch.setattr(M, "WORDS", 30)
+    monkeypatch.setattr(M, "BUCKETS", M.VOCAB - 30)
+    monkeypatch.setattr(M, "fit", lambda *a: kept.append(fit(*a)) or kept[-1])
+    seen = M.count_vocabulary
+    monkeypatch.setattr(M, "count_vocabulary", lambda d: kept.append(seen(d)) or kept[-1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in M.pseudo_likelihood(docs).collect()}
+    (vocabulary, _, _), net = kept
+    split = [(t or "").split() for t in texts]
+    for i, own in enumerate(split):
+        hashes, ids = tokens(vocabulary, " ".join(own)) or ([], [])
+        total = 0.0
+        for k, word in enumerate(own):
+            h = net.shift.astype(float).copy()
+            for j, d in enumerate([-2, -1, 1, 2]):
+                h += net.embed[ids[k + d] if 0 <= k + d < len(own) else M.PAD] * net.scale[j]
+            h = np.tanh(h)
+            c, w = divmod(int(ids[k]), M.IN_CLASS)
+            a, p = net.class_w @ h + net.class_b, net.word_w[c] @ h + net.word_b[c]
+            total += a[c] - np.log(np.exp(a).sum()) + p[w] - np.log(np.exp(p).sum())
+            if hashes[k] not in vocabulary.frequent:
+                others = [x for j, t in enumerate(split) if j != i for x in t]
+                same = [x for x in set(x for t in split for x in t) if (hx := tokens(vocabulary, x)[0][0]) not in vocabulary.frequent and vocabulary.bucket_of(np.array([hx]))[0] == vocabulary.bucket_of(hashes[k : k + 1])[0]]
+                total += np.log((others.count(word) + M.ALPHA) / (sum(others.count(x) for x in same) + M.ALPHA * len(same)))
+        assert got[i].pseudo_log_likelihood == pytest.approx(total, rel=1e-3, abs=1e-3) and got[i].n_tokens == len(own)
+        assert got[i].n_unshared == sum(w not in {x for j, t in enumerate(split) if j != i for x in t} for w in own)
+    assert got[1].pseudo_log_likelihood == pytest.approx(got[14].pseudo_log_likelihood, abs=1e-4)
 
 
 def test_awkward_rows(spark, awkward):
@@ -73,20 +118,20 @@ def test_awkward_rows(spark, awkward):
     assert M.pseudo_likelihood(awkward.limit(0)).count() == 0
 
 
-def test_registered_query_trains_on_every_position(spark, monkeypatch):
-    """In every round; and the scores of the registered query follow the language."""
+def test_every_position_is_trained_once(spark, monkeypatch):
+    """Over the rounds of the registered query."""
     from attesta.llm import queries as Q
 
-    d, seen, average = "/root/testdata/sf0.001", [], M.fit
+    d, seen, fit = "/root/testdata/sf0.001", [], M.fit
 
-    def fit(encoded, counts, *args):
+    def spy(encoded, counts, rounds):
         form = "piece int, lane int, seen long, weights binary"
-        sent = encoded.mapInArrow(M._train(M.Network.fresh(counts).flat, args[1], 0.05, 2048, 3), form)
-        seen.append((args[0], sent.where("piece = 0").agg(F.sum("seen")).first()[0], int(counts.sum())))
-        return average(encoded, counts, *args)
-
-    monkeypatch.setattr(M, "fit", fit)
-    mean = Q.op2_masked_pseudo_likelihood(spark, d).agg(F.sum("pseudo_log_likelihood") / F.sum("n_tokens")).first()[0]
-    (rounds, trained, tokens), (_, counts) = seen[0], M.count_vocabulary(spark.read.parquet(f"{d}/documents.parquet"))
-    p = counts / counts.sum()
-    assert rounds >= 1 and trained == tokens and mean > float((p[p > 0] * np.log(p[p > 0])).sum())
+        flat = M.Network.fresh(counts).flat
+        sent = [encoded.select("row", "ids").mapInArrow(M._train(flat, k, rounds, 4, 0.05, 8192, 3), form).where("piece = 0").agg(F.sum("seen")).first()[0] for k in range(rounds)]
+        seen.append((sum(sent), int(counts.sum())))
+        return fit(encoded, counts, rounds)
+
+    monkeypatch.setattr(M, "fit", spy)
+    out = Q.op2_masked_pseudo_likelihood(spark, d)
+    assert out.where("n_tokens > 0").agg(F.max("pseudo_log_likelihood")).first()[0] < 0
+    assert seen[0][0] == seen[0][1]
