@@ -15,7 +15,8 @@
    so that a list holds what is not known yet, however large the component.
 6. *Links.* Within a component members near its pivot (within half the threshold angle) are linked with
    each other by the triangle inequality and only counted; all others are compared with every
-   member, in pairs of blocks. So n_links is exact within components, without expanding copies.
+   member, in pairs of blocks. So n_links is exact within components, without expanding copies: this
+   stands in for lists as long as a node's links, which would grow with the square of a group.
 7. *Audit.* For a bounded sample of nodes all links are found by brute force, in one pass. Recall is
    the mean over the sampled nodes with links of the share that lies within components, so that a
    node in a huge group counts as much as one of an isolated pair; nodes outside large components are
@@ -42,6 +43,8 @@ AUDIT_LINKED = 40  # sampled nodes with links outside large components, if the t
 AUDIT_MOST = 6400  # sampled nodes
 LARGE = 0.01  # of all nodes: a large component
 PAIR_BLOCK = 1024  # members of a component compared in one task with as many others
+JOIN_BLOCK = 2048  # members of a node's lists compared with each other at once
+CLOSE = 1e-12  # cosines this near the threshold are added up anew, in one order for all blocks
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -60,11 +63,19 @@ def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not np.isfinite(top) or top == 0 or not np.isfinite(x).all():
                 out.append(None)
             else:
-                x = x / top
+                x = np.ldexp(x, -int(np.frexp(top)[1]))  # by a power of two, which rounds nothing
                 out.append((x / np.sqrt(np.dot(x, x))).tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "unit"])
 
 
+def _near(s: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Which products ``s`` = x @ y.T are >= threshold; a product's last digits depend on the block, so close ones are added up anew."""
+    near = s >= threshold
+    for i, j in zip(*np.nonzero(np.abs(s - threshold) <= CLOSE)):
+        near[i, j] = float(np.sum(x[i] * y[j])) >= threshold
+    return near
+
+
 def _signs(tables: int, bits: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,14 +117,16 @@ def _forest(near: np.ndarray) -> tuple[list, list]:
 
 
 def _best(x: np.ndarray, ids: np.ndarray, component: np.ndarray, k: int, threshold: float, worst: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """(id, neighbour, cosine, tree): for each row its k nearest of other components, if better than ``worst``; and a forest of the pairs >= threshold (tree)."""
+    """(id, neighbour, cosine, tree): for each row its k nearest of other components, if better than ``worst``; and a forest of the links (tree)."""
     s = x @ x.T
-    s[component[:, None] == component[None, :]] = -2
+    near = _near(s, x, x, threshold)
+    same = component[:, None] == component[None, :]
+    s[same], near[same] = -2, False
     k = min(k, len(x) - 1)
-    near = np.argpartition(-s, k - 1, axis=1)[:, :k]
-    rows, cols = np.repeat(np.arange(len(x)), k), near.ravel()
+    first = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    rows, cols = np.repeat(np.arange(len(x)), k), first.ravel()
     keep = s[rows, cols] > (-2 if worst is None else worst[rows])
-    left, right = _forest(s >= threshold - 1e-9)
+    left, right = _forest(near)
     rows, cols = np.r_[rows[keep], np.array(left, np.int64)], np.r_[cols[keep], np.array(right, np.int64)]
     return ids[rows], ids[cols], s[rows, cols], np.arange(len(rows)) >= len(rows) - len(left)
 
@@ -160,8 +173,8 @@ def _meet(k: int, threshold: float):
             heads = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
             out = []
             for lo, hi in zip(heads.tolist(), [*heads[1:].tolist(), cut]):
-                for at in range(lo, hi, BLOCK):  # a node listed by very many compares them block by block
-                    end = min(hi, at + BLOCK)
+                for at in range(lo, hi, JOIN_BLOCK):  # a node listed by very many compares them block by block; audit and seeds stand in for the rest
+                    end = min(hi, at + JOIN_BLOCK)
                     if end - at > 1:
                         out.append(_best(np.frombuffer(b"".join(held[2][at:end]), np.float64).reshape(end - at, -1), ids[at:end], own[at:end], k, threshold, worst[at:end]))
             for part in held:
@@ -199,7 +212,8 @@ def _link_pairs(threshold: float):
         left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         if left.empty or right.empty:
             return pd.DataFrame({"id": [], "links": []}).astype({"id": "int64", "links": "int64"})
-        near = _matrix(left["unit"]) @ _matrix(right["unit"]).T >= threshold
+        x, y = _matrix(left["unit"]), _matrix(right["unit"])
+        near = _near(x @ y.T, x, y, threshold)
         near &= left["id"].to_numpy()[:, None] != right["id"].to_numpy()[None, :]
         return pd.DataFrame({"id": left["id"].to_numpy(), "links": near @ right["copies"].to_numpy()})
 
@@ -221,7 +235,8 @@ def _brute(sample_ids: np.ndarray, sample: list[bytes], threshold: float):
                 if len(at):
                     x, names = np.frombuffer(b"".join([raw[i] for i in at]), np.float64).reshape(len(at), -1).T, np.array([i for i, _ in own], np.int64)
                     for lo in range(0, len(own), PAIR_BLOCK):
-                        near = np.frombuffer(b"".join([u for _, u in own[lo : lo + PAIR_BLOCK]]), np.float64).reshape(-1, len(x)) @ x >= threshold
+                        asked = np.frombuffer(b"".join([u for _, u in own[lo : lo + PAIR_BLOCK]]), np.float64).reshape(-1, len(x))
+                        near = _near(asked @ x, asked, x.T, threshold)
                         near &= names[lo : lo + PAIR_BLOCK, None] != ids[at][None, :]
                         r, c = np.nonzero(near)
                         pairs, links = np.unique(np.c_[names[lo + r], components[at][c]], axis=0, return_counts=True)
@@ -296,8 +311,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
                 met = lists.join(known, "member").select("node", "member", "unit", "component", "worst").repartition("node").sortWithinPartitions("node", "member")
                 better = met.mapInArrow(_meet(k, threshold), form)
                 graph = materialise(_keep_best(better.unionByName(graph.select("a", "b", "sim", "tree")), k), "nn-graph")
-            linked = graph.where(F.col("sim") >= threshold - 1e-9)
-            saturated = not linked.where(F.col("place") == k).isEmpty()
+            linked = graph.where("tree")
+            saturated = not graph.where((F.col("sim") >= threshold) & (F.col("place") == k)).isEmpty()
             joined = connected_components(linked.select("a", "b").union(component.where("id <> component").select("id", "component")))
             component = materialise(plain.select("id").join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component")), "nn-components")
             turn += 1
@@ -320,15 +335,16 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     placed = materialise(members.join(pivots, "component").select("component", "id", "unit", "copies", "size", "pivot").mapInArrow(to_pivot, form), "nn-members")
     cores = placed.where("core").groupBy("component").agg(F.sum("copies").alias("core_copies"))
     inside = placed.where("core").join(cores, "component").select("id", (F.col("core_copies") - F.col("copies")).alias("links"))
-    # pairs with at least one end outside the core, both ways: outer members (left) against all (right), core members (left) against outer ones
-    dealt = placed.withColumn("blocks", F.ceil(F.col("size") / PAIR_BLOCK)).withColumn("own", F.expr("pmod(xxhash64(id), blocks)"))
-    outer = placed.where("not core").select("component").distinct()
-    open_ = dealt.join(outer, "component")
+    # pairs with at least one end outside the core, both ways: outer members (left) against all (right), core members (left) against
+    # outer ones; core and outer members are dealt into blocks by their own numbers, and a row goes to as many tasks as there are
+    # blocks of the other kind, so one outer member costs a pass over the core
+    parts = placed.groupBy("component").agg(*[F.ceil(F.count(F.when(F.col("core") == F.lit(kind), 1)) / PAIR_BLOCK).alias(name) for name, kind in (("core_blocks", True), ("outer_blocks", False))]).where("outer_blocks > 0")
+    open_ = placed.join(parts, "component").withColumn("own", F.expr("pmod(xxhash64(id), case when core then core_blocks else outer_blocks end)"))
     kinds = [("core", "outer"), ("outer", "core"), ("outer", "outer")]
     sides = []
     for number, (left, right) in enumerate(kinds):
-        for side, kind in ((0, left), (1, right)):
-            rows = open_.where("core" if kind == "core" else "not core").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        for side, kind, facing in ((0, left, right), (1, right, left)):
+            rows = open_.where("core" if kind == "core" else "not core").where(f"{facing}_blocks > 0").withColumn("other", F.explode(F.expr(f"sequence(0, {facing}_blocks - 1)")))
             i, j = ("own", "other") if side == 0 else ("other", "own")
             sides.append(rows.select("component", F.lit(number).alias("kind"), F.col(i).alias("i"), F.col(j).alias("j"), F.lit(side).alias("side"), "id", "unit", "copies"))
     pairs = sides[0]

@@ -121,3 +121,11 @@ def test_audit_sees_lost_pairs_beside_a_large_group(spark):
 def test_nothing_measured_is_null(spark):
     rows = [(i, v.tolist(), 0) for i, v in enumerate(np.eye(20, dtype=np.float32))]
     assert {(r.n_links, r.recall) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()} == {(0, None)}
+
+
+def test_ties_at_the_threshold(spark):
+    """A cosine of exactly 0.9 is a link, one 5e-10 below is none, in n_links and component alike."""
+    below = 0.9 - 5e-10
+    rows = [(1, [1.0, 0.0, 0.0, 0.0], 0), (2, [9.0, 3.0, 3.0, 1.0], 0), (3, [below, 0.0, 0.0, -float(np.sqrt(1 - below**2))], 0), (4, [0.0, 0.0, 2.0, 0.0], 0)]
+    got = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == {1: (1, 1, True), 2: (1, 1, False), 3: (0, 3, True), 4: (0, 4, True)}
