@@ -82,8 +82,17 @@ def spare_name(columns: list[str], wanted: str) -> str:
 _SHIPPED: set[str] = set()
 
 
+#: Rows of an Arrow batch, in place of Spark's 10,000: a row may hold a long text, and both the executor and its Python worker hold batches.
+BATCH_ROWS = 1000
+
+
 def ship_code(spark: SparkSession) -> None:
-    """Give this package to the executors' Python workers (once per application), wherever they run."""
+    """Give this package to the executors' Python workers (once per application), wherever they run.
+
+    Sessions that leave Arrow batches at Spark's default get smaller ones.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
