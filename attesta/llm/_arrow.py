@@ -28,13 +28,14 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def _power(base: np.uint64, n: int, name: str) -> np.ndarray:
-    """base**0 .. base**(n-1) mod 2**64, kept for the next slice."""
+    """base**0 .. base**(n-1) mod 2**64; as many as a slice needs are kept, those of a longer text are not."""
     have = _powers.get(name)
     if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + 1)
-        out = np.full(size, base, np.uint64)
+        out = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
         out[0] = 1
-        _powers[name] = have = np.multiply.accumulate(out)
+        have = np.multiply.accumulate(out)
+        if len(have) == SLICE_BYTES + 1:
+            _powers[name] = have
     return have[:n]
 
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from attesta.session import materialise
+from attesta.session import materialise, quoted
 
 LEVELS = ["domain", "lang", "source"]
 #: Leaf rows are sent to all executors up to this many; beyond it they are joined by a shuffle.
@@ -136,20 +136,22 @@ def mix_rows(docs: DataFrame, domain: Column, weights: dict[tuple[str, ...], int
 
 
 def mix_documents(docs: DataFrame, domain: Column, weights: dict[tuple[str, ...], int], percent: int = 90, seed: int = 17) -> DataFrame:
-    """The rows of ``docs`` that one epoch of the mix takes, the documents at a leaf's cut shortened; columns as they came.
+    """The rows of ``docs`` that one epoch of the mix takes, the documents at a leaf's cut shortened; columns as they came, whatever their names.
 
     Texts are not shuffled: a row is in or out by its own order key and its leaf's cut. Rows without
-    words stay, as they cost nothing.
+    words (null texts too) stay, as they cost nothing. Null domains, languages and sources are the
+    group "(none)"; null ids are ids like others; equal rows count one by one. Texts of any length
+    count whole. An empty table gives an empty table.
     """
     _, leaves = plan(docs, domain, weights, percent, 1, seed)
-    keys = _leaf_columns(docs, domain)
-    names = [f"_{k}" for k in LEVELS]
-    cut = leaves.select(*[F.col(k).alias(f"_{k}") for k in LEVELS], F.col("epochs").alias("_epochs"), F.col("cut_key").alias("_cut_key"), F.col("cut_tokens").alias("_cut_tokens"))
-    at = docs.withColumns({f"_{k}": c for k, c in keys.items()} | {"_n": n_tokens(F.col("text")), "_digest": F.md5(F.coalesce("text", F.lit("")).cast("binary"))})
-    at = at.join(F.broadcast(cut) if leaves.count() <= BROADCAST_LEAVES else cut, names, "left").withColumn("_key", _order_key(seed, F.lit(0)))
-    whole = at.where("_n = 0 or _epochs >= 1 or _key < _cut_key")
-    copy = F.row_number().over(Window.partitionBy(*names).orderBy("_key")) - 1
-    edge = at.where("_n > 0 and _epochs = 0 and _key = _cut_key and _cut_tokens > 0").withColumn("_taken", F.least(F.col("_n"), F.col("_cut_tokens") - copy * F.col("_n"))).where("_taken > 0")
-    edge = edge.withColumn("text", F.when(F.col("_taken") < F.col("_n"), token_prefix(F.col("text"), F.col("_taken"))).otherwise(F.col("text")))
-    edge = edge.withColumn("n_chars", F.when(F.col("_taken") < F.col("_n"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return whole.select(*docs.columns).unionByName(edge.select(*docs.columns))
+    cut = leaves.select(*LEVELS, "epochs", "cut_key", "cut_tokens")
+    at = docs.select(F.struct(*map(quoted, docs.columns)).alias("doc"), "doc_id", *[c.alias(f"{k}_of") for k, c in _leaf_columns(docs, domain).items()], n_tokens(F.col("text")).alias("n"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("_digest"))
+    at = at.select("doc", *[F.col(f"{k}_of").alias(k) for k in LEVELS], "n", _order_key(seed, F.lit(0)).alias("key"))
+    at = at.join(F.broadcast(cut) if leaves.count() <= BROADCAST_LEAVES else cut, LEVELS, "left")
+    whole = at.where("n = 0 or epochs >= 1 or key < cut_key")
+    copy = F.row_number().over(Window.partitionBy(*LEVELS).orderBy("key")) - 1
+    edge = at.where("n > 0 and epochs = 0 and key = cut_key and cut_tokens > 0").withColumn("taken", F.least(F.col("n"), F.col("cut_tokens") - copy * F.col("n"))).where("taken > 0")
+    prefix = edge.withColumn("prefix", token_prefix(F.col("doc.text"), F.col("taken")))
+    short = F.col("doc").withField("text", F.col("prefix")).withField("n_chars", F.length("prefix").cast(docs.schema["n_chars"].dataType))
+    edge = prefix.select(F.when(F.col("taken") < F.col("n"), short).otherwise(F.col("doc")).alias("doc"))
+    return whole.select("doc.*").unionByName(edge.select("doc.*"))

@@ -139,13 +139,16 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, max_train: int = 5000, label_col: str = "quality") -> Machine:
     """A machine trained on at most ``max_train`` labelled rows that are not held out.
 
-    Rows with a null id or label are not used; of several labels for an id the smallest counts.
+    Rows with a null id or label are not used; of several labels for an id the smallest counts, of
+    several documents the one with the smallest digest of its text. So at most ``max_train`` rows
+    come to the driver, whatever repeats.
     Without labelled rows the machine scores 0.5 or thereabouts.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col("doc_id").alias("known_id")).agg(F.min(label_col).alias("label"))
     chosen = known.where(~held_out(F.col("known_id"))).orderBy(F.xxhash64(F.col("known_id"), F.lit(41)), "known_id").limit(max_train)
     texts = docs.select(F.col("doc_id").alias("known_id"), "text", F.col("n_chars").cast("long").alias("n_chars"))
-    sample = texts.join(F.broadcast(chosen), "known_id").select("known_id", "text", "n_chars", F.col("label").cast("long").alias("label"))
+    sample = texts.join(F.broadcast(chosen), "known_id").select("known_id", F.col("label").cast("long").alias("label"), F.struct(F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), "text", "n_chars").alias("doc"))
+    sample = sample.groupBy("known_id", "label").agg(F.min("doc").alias("doc")).select("known_id", "doc.text", "doc.n_chars", "label")
     got = sample.mapInArrow(_features, "doc_id long, label long, ids array<long>, values array<float>").toPandas()  # at most max_train rows
     got = got.sort_values("doc_id", kind="stable")
     rows = [(np.asarray(i, np.int64), np.asarray(v, np.float32)) for i, v in zip(got["ids"], got["values"])]
@@ -168,13 +171,21 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 
 
 def quality(docs: DataFrame, labels: DataFrame, max_train: int = 5000) -> DataFrame:
-    """doc_id, held_out, score, predicted (1 if score >= 0.5) for every row of ``docs``; repeated and null ids stay as they are."""
+    """doc_id, held_out, score, predicted (1 if score >= 0.5) for every row of ``docs``.
+
+    Repeated and null ids stay as they are, null and empty texts are scored by their structure, long
+    texts whole; other columns are not read, whatever their names; an empty table gives an empty table.
+    """
     scored = score(docs, train(docs, labels, max_train))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_train: int = 5000, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` with score >= ``least``; columns as they came. Each row is scored with its own text."""
+    """The rows of ``docs`` with score >= ``least``; columns as they came, whatever their names.
+
+    Each row is scored with its own text: repeated and null ids are rows like others, null and empty
+    texts are scored by their structure, long texts whole. An empty table gives an empty table.
+    """
     machine = train(docs, labels, max_train)
     w0, w, v = machine.w0, machine.w, machine.v
     names = docs.columns

@@ -3,8 +3,9 @@
 One table of frequencies, counted over all documents, is shared by all blocks. A block holds whole
 documents and is coded on its own: its ids are dealt over interleaved lanes, each with a state of
 its own, so numpy takes a step of all lanes at once. A block also holds checkpoints (all states and
-the place in the stream after every so many steps), from which decoding can start, and checksums of
-the stream and of the ids.
+the place in the stream after every so many steps), and checksums of the stream and of the ids.
+Decoding starts at all checkpoints of a block at once: the lanes of all its intervals take a step
+together, so a block takes as many steps as one interval, however long it is.
 
 A token file is a Parquet dataset of blocks (one row: part, block, first token, payload) beside a
 dataset of frequencies. Spark's commit protocol makes the write safe against lost executors, and
@@ -101,7 +102,7 @@ def encode_block(ids: np.ndarray, doc_ids: list, lengths: np.ndarray, table: Tab
 
 
 class Block:
-    """A parsed block; ``decode`` gives its ids from any checkpoint on."""
+    """A parsed block; ``decode`` gives its ids from any checkpoint on, ``decode_parallel`` all of them from all checkpoints."""
 
     def __init__(self, payload: bytes, table: Table):
         (magic, version, self.lanes, self.n, docs, self.words, checks, table_crc, self.crc, stream_crc) = _HEAD.unpack_from(payload)
@@ -153,6 +154,29 @@ class Block:
         return out
 
 
+    def decode_parallel(self) -> np.ndarray:
+        """All ids, checked against the checksum: every interval but the last, which may be short, at the same time."""
+        t, full = self.table, len(self.states) - 1
+        if full < 1:
+            return self.decode()
+        state, at = self.states[:full].copy(), self.places[:full].astype(np.int64)
+        mask, out = np.uint64((1 << BITS) - 1), np.empty((full, CHECK_STEPS, self.lanes), np.uint32)
+        for k in range(CHECK_STEPS):
+            slot = state & mask
+            s = t.slot[slot]
+            out[:, k] = t.ids[s]
+            state = t.freq[s] * (state >> _B) + slot - t.start[s]
+            row, lane = np.nonzero(state < LOW)  # by interval, then by lane, as the words lie in the stream
+            taken = np.bincount(row, minlength=full)
+            place = np.arange(len(row)) + (at - (np.cumsum(taken) - taken))[row]
+            state[row, lane] = (state[row, lane] << _W) | self.stream[place]
+            at += taken
+        ids = np.concatenate([out.ravel(), self.decode(full)])
+        if zlib.crc32(ids.astype("<u4").tobytes()) != self.crc:
+            raise ValueError("the block's ids are damaged")
+        return ids
+
+
 def _count(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
@@ -202,7 +226,7 @@ def _decode(ids: np.ndarray, freq: np.ndarray):
         for batch in batches:
             for first, payload in zip(batch.column(0), batch.column(1)):
                 block = Block(payload.as_py(), table)
-                raw = block.decode().astype("<u4").tobytes()
+                raw = block.decode_parallel().astype("<u4").tobytes()
                 ends = np.cumsum(block.lengths)
                 starts = ends - block.lengths
                 texts = [raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist())]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
-from attesta.session import materialise, shared_dir
+from attesta.session import materialise, quoted, shared_dir
 
 #: Bumped whenever a rule changes, so that old blobs are scanned anew.
 RULES_VERSION = "1"
@@ -28,7 +28,7 @@ RULES = {
     "access": (re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
     "hex": (re.compile(r"[0-9a-f]{24,}"), 0, 24),
     "private_key": (re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]+-----END [A-Z ]{0,40}PRIVATE KEY-----)?"), 0, 1),
-    "jwt": (re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), 0, 1),
+    "jwt": (re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"), 0, 1),
     "forge_token": (re.compile(r"gh[opsur]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}"), 0, 1),
 }
 #: A match of assign holds one of these in some case; looking for them first is much faster than the pattern.
@@ -62,19 +62,35 @@ def cover_of(spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     part = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    seen: set[str] = set()
     for batch in batches:
         for lo in range(0, batch.num_rows, 1000):
             cut = batch.slice(lo, 1000)
+            # rows that repeat path and text come several times
+            fresh = []
+            for blob in cut.column(0).to_pylist():
+                fresh.append(blob not in seen)
+                seen.add(blob)
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            if not all(fresh):
+                cut = cut.filter(pa.array(fresh))
             spans = [spans_of(t) if t else [] for t in cut.column(1).to_pylist()]
             rows = [[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in spans]
             covers = [[{"start": a, "end": b} for a, b in cover_of(s)] for s in spans]
             yield pa.RecordBatch.from_arrays([cut.column(0), pa.array(rows, span), pa.array(covers, part)], names=["blob", "spans", "cover"])
 
 
+#: Blobs that a task remembers having scanned.
+REMEMBERED = 100_000
+#: Parts into which the rows of a blob are dealt when findings are joined back, so that a text that very many paths share is not one task.
+SALTS = 16
+
+
 class BlobLedger:
-    """A ledger kept as a Parquet dataset of (blob, rules, spans, cover) at ``path``; None: a new one in the shared folder."""
+    """A ledger kept as a Parquet dataset of (blob, spans, cover) at ``path``, one folder for each rule version; None: a new one in the shared folder."""
 
-    SCHEMA = f"blob string, rules string, spans {_SPAN}, cover array<struct<start: bigint, end: bigint>>"
+    SCHEMA = f"blob string, spans {_SPAN}, cover array<struct<start: bigint, end: bigint>>, rules string"
 
     def __init__(self, spark, path: str | None = None, rules: str = RULES_VERSION):
         self.spark, self.rules = spark, rules
@@ -90,23 +106,28 @@ class BlobLedger:
             return self.spark.createDataFrame([], self.SCHEMA)
 
     def known(self) -> DataFrame:
-        """One row per blob scanned with this ledger's rules (an interrupted and repeated run may have appended a blob twice)."""
+        """One row per blob scanned with this ledger's rules (an interrupted and repeated run may have appended a blob twice); other rules' folders are not read."""
         return self.rows().where(F.col("rules") == self.rules).drop("rules").dropDuplicates(["blob"])
 
     def scan(self, versions: DataFrame, path_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Scan what is unseen, append it, and return (path, blob, spans, cover) for every row of ``versions``.
 
         Null texts are empty texts, null paths are paths like others, repeated rows each give a row;
-        an empty table gives an empty one. Other columns are not read.
+        an empty table gives an empty one. Texts of any length are scanned whole. Other columns are
+        not read, whatever their names. Of the paths of an unseen blob the smallest gives the text.
         """
-        texts = versions.select(F.col(path_col).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        addressed = texts.select("path", F.sha2("text", 256).alias("blob"))
-        unseen = addressed.groupBy("blob").agg(F.min("path").alias("at")).join(self.rows().where(F.col("rules") == self.rules).select("blob"), "blob", "left_anti")
-        unseen = unseen.select(F.col("blob").alias("want"), "at")
-        move = texts.join(unseen, F.col("path").eqNullSafe(F.col("at"))).where(F.sha2("text", 256) == F.col("want")).select("want", "text")
+        texts = versions.select(F.col(path_col).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
+        addressed = texts.select("path", "blob")
+        done = self.rows().where(F.col("rules") == self.rules).select("blob")
+        unseen = addressed.groupBy("blob").agg(F.min("path").alias("at")).join(done, "blob", "left_anti").select(F.col("blob").alias("want"), "at")
+        move = texts.join(unseen, (F.col("blob") == F.col("want")) & F.col("path").eqNullSafe(F.col("at"))).select("want", "text")
         found = move.mapInArrow(_scan, f"blob string, spans {_SPAN}, cover array<struct<start: bigint, end: bigint>>")
-        found.select("blob", F.lit(self.rules).alias("rules"), "spans", "cover").write.mode("append").parquet(self.path)
-        return addressed.join(self.known(), "blob").select(F.col("path").alias(path_col), "blob", "spans", "cover")
+        found.withColumn("rules", F.lit(self.rules)).write.mode("append").partitionBy("rules").parquet(self.path)
+        # every blob is known now; those without findings need no join
+        hits = self.known().where(F.size("spans") > 0).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = addressed.withColumn("salt", (F.monotonically_increasing_id() % SALTS).cast("int"))
+        none = [F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("spans", _SPAN), ("cover", "array<struct<start: bigint, end: bigint>>"))]
+        return salted.join(hits, ["blob", "salt"], "left").select(F.col("path").alias(path_col), "blob", *none)
 
 
 #: Keys with findings are sent to all executors up to this many (8 bytes each); beyond it they are joined by a shuffle.
@@ -119,23 +140,29 @@ def span_text(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, ledger: BlobLedger, mark: str = "[secret]") -> DataFrame:
-    """``docs`` with every found span replaced by ``mark`` (overlapping spans by one); n_chars follows the text; rows and columns as they came."""
-    found = ledger.scan(docs.select("doc_id", "text")).where(F.size("cover") > 0).select(F.col("doc_id").alias("_path"), F.col("blob").alias("_blob"), F.col("cover").alias("_cover")).distinct()
+    """``docs`` with every found span replaced by ``mark`` (overlapping spans by one); n_chars follows the text; rows and columns as they came, whatever their names.
+
+    Null and empty texts hold nothing and stay as they are; rows with null or repeated ids are
+    cleaned by their own text; texts of any length are scanned whole. An empty table gives an empty
+    table.
+    """
+    found = ledger.scan(docs.select("doc_id", "text")).where(F.size("cover") > 0).select(F.col("doc_id").alias("path"), "blob", "cover").distinct()
     found = materialise(found, "redact-found")
     # only documents whose key has a finding are joined with the findings; the others pass where they lie
-    keys = found.select(F.xxhash64("_path").alias("_key")).distinct()
+    keys = found.select(F.xxhash64("path").alias("key")).distinct()
     keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-    clean = docs.join(keys, F.xxhash64("doc_id") == F.col("_key"), "left_anti").select(*docs.columns)
-    some = docs.join(keys, F.xxhash64("doc_id") == F.col("_key"), "left_semi")
-    marked = some.join(found, F.col("doc_id").eqNullSafe(F.col("_path")) & (F.sha2("text", 256) == F.col("_blob")), "left")
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("doc"))
+    at = F.xxhash64(F.col("doc.doc_id")) == F.col("key")
+    clean, some = rows.join(keys, at, "left_anti"), rows.join(keys, at, "left_semi")
+    marked = some.join(found, F.col("doc.doc_id").eqNullSafe(F.col("path")) & (F.sha2("doc.text", 256) == F.col("blob")), "left")
     state = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
-    text = F.col("text")
+    text = F.col("doc.text")
     hidden = F.aggregate(
-        "_cover",
+        "cover",
         state,
         lambda s, c: F.struct(F.concat(s["out"], text.substr((s["at"] + 1).cast("int"), (c["start"] - s["at"]).cast("int")), F.lit(mark)).alias("out"), c["end"].alias("at")),
         lambda s: F.concat(s["out"], text.substr((s["at"] + 1).cast("int"), F.length(text))),
     )
-    cleaned = marked.withColumn("text", F.when(F.col("_cover").isNotNull(), hidden).otherwise(text))
-    size = F.when(F.col("_cover").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return clean.unionByName(cleaned.withColumn("n_chars", size).select(*docs.columns))
+    hit = F.col("cover").isNotNull()
+    cleaned = marked.withColumn("hidden", F.when(hit, hidden)).select(F.when(hit, F.col("doc").withField("text", F.col("hidden")).withField("n_chars", F.length("hidden").cast(docs.schema["n_chars"].dataType))).otherwise(F.col("doc")).alias("doc"))
+    return clean.select("doc.*").unionByName(cleaned.select("doc.*"))

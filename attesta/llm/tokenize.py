@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 #: Words kept by a worker; beyond it the cache starts anew, which costs time only.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 150_000
 #: Texts of these characters only take the short way: no normalisation but lower case, no marks.
 _OUTSIDE = re.compile("[^\t-\r -~À-ÖØ-öø-ÿ]")
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^\\s0-9a-zà-öø-ÿß]+")

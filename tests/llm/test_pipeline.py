@@ -63,3 +63,29 @@ def test_stages_against_brute_force(spark):
 def test_run(spark):
     out = P.run(spark, SF)
     assert out.count() > 0 and {"doc_id", "start", "length", "sequence_id", "offset"} <= set(out.columns)
+
+
+CLASHING = ["_n", "_digest", "_key", "_domain", "_path", "_blob", "row", "doc", "path", "blob", "cover", "key", "n", "taken", "component_id", "label", "score", "part", "ids"]
+
+
+def test_stages_on_awkward_rows(spark, awkward, tmp_path):
+    """Null fields, empty and very long texts, repeated rows, an empty table, and columns named as the stages might name their own."""
+    from pyspark.sql import functions as F
+
+    docs = awkward.select("*", *[F.concat(F.lit(f"{c} of "), F.coalesce("size", F.lit("-"))).alias(c) for c in CLASHING])
+    ids = docs.select("doc_id").distinct().where("doc_id is not null")
+    ids.selectExpr("doc_id", "1 as quality", "0 as toxic").write.parquet(f"file://{tmp_path}/labels.parquet")
+    for given in (docs, docs.limit(0)):
+        rows = sorted(map(str, given.collect()))
+        for name, stage in P.STAGES[:-1]:
+            out = stage(spark, given, f"file://{tmp_path}")
+            got = out.collect()
+            assert out.columns == given.columns, name
+            if name == "mixing":  # texts are cut and rows go, the other columns are the rows' own
+                assert all(r[c] == f"{c} of {r['size'] or '-'}" for r in got for c in CLASHING)
+            else:
+                assert set(map(str, got)) <= set(rows), name
+            if name in ("quality_classifier", "secret_scans"):
+                assert sorted(map(str, got)) == rows, name
+        pieces = P.packing(spark, given, f"file://{tmp_path}").collect()
+        assert len({(r.doc_id, r.doc_tokens) for r in pieces}) <= len(rows) <= len(pieces)

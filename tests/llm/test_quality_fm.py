@@ -47,3 +47,13 @@ def test_awkward_rows(spark, awkward):
     assert Q.quality(awkward.limit(0), labels).count() == 0 and Q.quality(awkward, labels.limit(0)).count() == len(out)
     kept = Q.keep_good(awkward, labels, least=0.0)
     assert kept.columns == awkward.columns and kept.count() == len(out)
+
+
+def test_training_rows_are_bounded_whatever_repeats(spark, monkeypatch):
+    docs = spark.range(3000).selectExpr("1L as doc_id", "concat('text ', id) as text", "9L as n_chars")
+    seen = []
+    fit = Q.Machine.fit
+    monkeypatch.setattr(Q.Machine, "fit", lambda self, rows, labels: seen.append(len(rows)) or fit(self, rows, labels))
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    Q.train(docs.union(spark.createDataFrame([(2, "x", 1)], docs.schema)), labels, max_train=2)
+    assert seen[0] <= 2

@@ -60,3 +60,15 @@ def test_awkward_rows_and_redaction(spark, awkward):
     docs = spark.createDataFrame([(1, "é password=abcdefgh and " + "0f" * 12 + " end", 9, "k"), (1, "é password=abcdefgh", 19, "k"), (None, "token: ffffffffffffffffffffffff", 3, None)], "doc_id long, text string, n_chars long, blob string")
     got = sorted((r.text, r.n_chars, r.blob) for r in redact(docs, BlobLedger(spark)).collect())
     assert got == [("[secret]", 8, None), ("é [secret]", 10, "k"), ("é [secret] and [secret] end", 27, "k")]
+
+
+def test_versions_meet_their_own_blob_only(spark):
+    """Many versions of one path, and many rows without a path: each blob is scanned once."""
+    rows = spark.range(2000).selectExpr("cast(null as string) as path", "concat('token=abcdef', id % 500) as text")
+    ledger = BlobLedger(spark)
+    assert ledger.scan(rows, "path").where("size(spans) = 1").count() == 2000
+    assert ledger.known().count() == 500 and ledger.rows().count() < 600
+
+
+def test_long_runs_are_linear():
+    assert spans_of("eyJ" * 200_000) == [] and len(spans_of("x eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSM y")) == 1
