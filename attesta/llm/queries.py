@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from attesta.llm.fingerprints import compare_with_next
-from attesta.llm.licenses import TEMPLATES, bigrams, scan_licenses
+from attesta.llm.licenses import TEMPLATES, bigrams, scan_licenses, text_words
 from attesta.llm.masked_lm import pseudo_likelihood
 from attesta.llm.mixing import mix_rows
 from attesta.llm.ngram_jaccard import jaccard_classes
@@ -118,24 +118,31 @@ def op7_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licence notices in all documents, Dice 0.8 or more over word bigrams."""
-    return scan_licenses(_table(spark, sf_dir, "documents"), TEMPLATES, "0.8")
+    """Licences in all documents, Dice 0.8 or more over word bigrams; ``hits`` lists all as licence:start:shared:size."""
+    found = scan_licenses(_table(spark, sf_dir, "documents"), TEMPLATES, "0.8")
+    return found.withColumn("hits", F.array_join(F.transform("hits", lambda h: F.concat_ws(":", h["license"], h["start"], h["shared"], h["size"])), ","))
 
 
 def _license_sql() -> str:
-    """The same without any pruning."""
-    rows = ", ".join(f"('{name}', [{', '.join(f"'{g}'" for g in bigrams(text))}])" for name, text in TEMPLATES.items())
+    """The same over all windows of the texts that have enough of a template's bigrams anywhere."""
+    rows = ", ".join(f"('{name}', {len(text_words(text))}, [{', '.join(f"'{g}'" for g in bigrams(text))}])" for name, text in TEMPLATES.items())
     return f"""
-with templates(license, grams) as (values {rows}),
-  whole as (select row_number() over () as row_id, doc_id, coalesce(text, '') as text from documents),
-  lines as (select row_id, string_split(text, chr(10)) as l, text from whole),
-  segments as (select row_id, unnest(case when len(l) > 1 then list_append(l, text) else l end) as s, unnest(range(0, case when len(l) > 1 then len(l) + 1 else 1 end)) as segment from lines),
-  words as (select row_id, segment, list_filter(string_split(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '') as w from segments),
-  grams as (select row_id, segment, list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) as g from words where len(w) > 1),
-  scores as (select row_id, segment, license, 2.0 * len(list_intersect(g, grams)) / (len(g) + len(grams)) as dice from grams g join templates t on list_has_any(g.g, t.grams)),
-  hits as (select *, row_number() over (partition by row_id order by dice desc, segment, license) as place, count(*) over (partition by row_id) as n from scores where dice >= 0.8)
-select doc_id, cast(coalesce(n, 0) as bigint) as n_hits, license, cast(dice as double) as dice, cast(segment as bigint) as segment
-from whole left join (select * from hits where place = 1) using (row_id)"""
+with templates(license, w, grams) as (values {rows}),
+  own as (select license, len(grams) as of_, unnest(grams) as g from templates),
+  whole as (select row_number() over () as row_id, doc_id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') as words from documents),
+  grams as (select row_id, i, words[i + 1] || ' ' || words[i + 2] as g from (select row_id, words, unnest(range(0, len(words) - 1)) as i from whole)),
+  pairs as (select row_id, license from grams join own using (g) group by row_id, license, of_ having 3 * count(distinct g) >= 2 * of_),
+  starts as (select row_id, license, w, len(grams) as b, least(w, len(words)) as l, unnest(range(0, len(words) - least(w, len(words)) + 1)) as s from pairs join templates using (license) join whole using (row_id)),
+  scores as (select row_id, s.license, w, s, count(distinct g.g) + any_value(b) as size, count(distinct o.g) as shared
+    from starts s join grams g using (row_id) left join own o on o.license = s.license and o.g = g.g where g.i >= s.s and g.i <= s.s + l - 2 group by all),
+  reach as (select *, 2.0 * shared / size as dice from scores where 10 * shared >= 4 * size),
+  heads as (select *, case when s - lag(s) over (partition by row_id, license order by s) < w then 0 else 1 end as head from reach),
+  runs as (select *, sum(head) over (partition by row_id, license order by s rows between unbounded preceding and current row) as run from heads),
+  places as (select *, row_number() over (partition by row_id, license, run order by dice desc, s) as place from runs),
+  hits as (select row_id, count(*) as n, arg_min(struct_pack(license := license, dice := dice, s := s), struct_pack(a := -dice, b := s, c := license)) as best,
+    string_agg(license || ':' || s || ':' || shared || ':' || size, ',' order by s, license) as hits from places where place = 1 group by row_id)
+select doc_id, cast(coalesce(n, 0) as bigint) as n_hits, best.license as license, cast(best.dice as double) as dice, cast(best.s as bigint) as start, coalesce(hits, '') as hits
+from whole left join hits using (row_id)"""
 
 
 def op9_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
