@@ -274,7 +274,7 @@ def rejected_values(spark, sf_dir):
 def run_trend(spark, sf_dir):
     """Each day of events as a run: events, users and value beside the day before."""
     days = _table(spark, sf_dir, "events").groupBy(F.col("ts").cast("date").alias("started_at")).agg(F.count("*").alias("events"), F.countDistinct("user_id").alias("users"))
-    return scoring.trend(days.withColumn("run_id", F.date_format("started_at", "yyyyMMdd")), ["events", "users"])
+    return scoring.trend(days.withColumn("run_id", F.date_format("started_at", "yyyyMMdd")), {"events": True, "users": False})
 
 
 def latest_per_key(spark, sf_dir):

@@ -247,7 +247,7 @@ from (select *, cast(substring(source_customer_id, 4) as bigint) as k from survi
     "run_trend": """
 with d as (select cast(ts as date) as started_at, strftime(cast(ts as date), '%Y%m%d') as run_id, count(*) as events, count(distinct user_id) as users from events group by 1, 2),
 p as (select *, lag(events) over (order by started_at) as previous_events, lag(users) over (order by started_at) as previous_users from d)
-select *, case when previous_events is null then '  -' when events = previous_events then '  =' when events > previous_events then 'UP +' || printf('%.1f', (events - previous_events)::double) else 'DOWN ' || printf('%.1f', (events - previous_events)::double) end as events_trend,
-  case when previous_users is null then '  -' when users = previous_users then '  =' when users > previous_users then 'UP +' || printf('%.1f', (users - previous_users)::double) else 'DOWN ' || printf('%.1f', (users - previous_users)::double) end as users_trend from p""",
+select *, case when previous_events is null then '  -' when events = previous_events then '  =' else case when events > previous_events then 'UP ' else 'DOWN' end || ' ' || printf('%+.1f', (events - previous_events)::double) end as events_trend,
+  case when previous_users is null then '  -' when users = previous_users then '  =' else case when users < previous_users then 'UP ' else 'DOWN' end || ' ' || printf('%+.1f', (users - previous_users)::double) end as users_trend from p""",
     "latest_per_key": "select user_id, event_id, event_type, value from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as place from events) where place = 1",
 }

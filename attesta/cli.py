@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from attesta import trust
-from attesta.operators import review
+from attesta.operators import review, scoring
 from attesta.reporting import lineage
 from attesta.session import get_spark, ship_code
 from attesta.sources import staging
@@ -24,9 +24,9 @@ def _parser() -> argparse.ArgumentParser:
     run = parts.add_parser("run", help="run the pipeline")
     run.add_argument("--data", help="folder with customer.csv and the source files")
     run.add_argument("--list", action="store_true", help="list the stages")
-    run.add_argument("--stage", action="append", help="run this stage (repeatable, in the given order)")
-    run.add_argument("--from", dest="start", help="run from this stage on")
-    run.add_argument("--strict", action="store_true", help="a blocked gate ends the run")
+    run.add_argument("--stage", action="append", help="a stage to run; give it several times for several stages")
+    run.add_argument("--from", dest="start", help="first stage to run, with all that follow")
+    run.add_argument("--strict", action="store_true", help="stop with an error at a gate that says BLOCKED")
     run.add_argument("--dry-run", action="store_true", help="show what would run")
     run.add_argument("--dashboard", help="write the page here")
     steward = parts.add_parser("review", help="list reviews and decide")
@@ -61,19 +61,35 @@ def _run(spark, store: TableStore, a: argparse.Namespace) -> int:
     seed = lambda f: staging.read_seed(spark, str(data / f))
     needs = "staging" in stages
     run = trust.Run(spark, store, now.strftime("RUN-%Y%m%d-%H%M%S"), now, seed("customer.csv") if needs else None, {s: seed(f) for s, f in staging.SYSTEMS.items()} if needs else {}, files, dashboard_path=a.dashboard)
+    code = 0
     try:
         trust.execute(run, stages, a.strict)
+    except trust.FreshStoreError as fresh:
+        print(fresh)
+        return 1
     except trust.GateBlocked as gate:
         print(f"stopped: {gate} is BLOCKED")
-        return 1
+        code = 1
+    except trust.StageFailed as failed:
+        print(f"stage {failed} failed: {type(failed.__cause__).__name__}: {failed.__cause__}")
+        code = 1
     for name, seconds in run.timings.items():
         print(f"{name:18s} {seconds:8.2f} s  {run.gates.get(name, '')}")
-    return 0
+    left = [n for n in stages if n not in run.timings]
+    if left:
+        print(f"not run: {', '.join(left)}")
+    if code == 0 and "reporting" in stages:
+        last = store.read("dq_run_trend").orderBy(F.desc("started_at"), F.desc("run_id")).first()
+        for m in scoring.MEASURES:
+            print(f"{m:20s} {last[f'{m}_trend']}")
+        if last["gate_status_change"]:
+            print(f"{'gate':20s} {last['gate_status_change']}")
+    return code
 
 
 def _review(spark, store: TableStore, a: argparse.Namespace) -> int:
     if a.list or a.list_resolved:
-        store.read("review_queue").where(F.col("status") == ("RESOLVED" if a.list_resolved else "OPEN")).orderBy("severity", "issue_type", "review_id").show(200, False)
+        store.read("review_queue").where(F.col("status") == ("RESOLVED" if a.list_resolved else "OPEN")).orderBy(F.when(F.col("severity") == "HIGH", 0).when(F.col("severity") == "MEDIUM", 1).otherwise(2), "issue_type", "review_id").show(200, False)
     elif a.import_actions:
         given = staging.read_text_csv(spark, a.import_actions).withColumn("created_at", F.current_timestamp().cast("timestamp_ntz"))
         store.overwrite("identity_resolution_action", review.import_actions(store.read("identity_resolution_action"), given))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -14,6 +12,8 @@ from attesta.session import materialise
 RECORD = ["source_system", "source_customer_id"]
 CANDIDATE = ["candidate_source_system", "candidate_source_customer_id"]
 KEYS = ["nik", "phone", "email"]
+#: Graphs of at most so many edges (two texts each) are solved by one task.
+SMALL_GRAPH = 200_000
 
 
 def candidates(unified: DataFrame, signals: dict[str, int]) -> DataFrame:
@@ -128,9 +128,9 @@ def clusters(unified: DataFrame, matches: DataFrame, least: float, steward: Data
     if steward is not None:
         edges = edges.unionByName(steward)
     present = unified.select(node(*RECORD).alias("node")).distinct()
-    comp = connected_components(edges)
+    comp = connected_components(edges, in_one_task=SMALL_GRAPH)
     conflicts = materialise(matches.where(F.col("match_status").isin("CONFLICT", "MATCH_WITH_CONFLICT")).select(node(*RECORD).alias("a"), node(*CANDIDATE).alias("b")).distinct(), "conflicts")
-    groups = connected_components(edges.unionByName(conflicts))
+    groups = connected_components(edges.unionByName(conflicts), in_one_task=SMALL_GRAPH)
     placed = present.join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("cluster"))
     touched = conflicts.select(F.explode(F.array("a", "b")).alias("node")).join(groups, "node").select("component").distinct()
     active = groups.join(touched, "component", "left_semi").withColumnRenamed("component", "grp")
@@ -152,74 +152,74 @@ def entity_shapes(clustered: DataFrame, matches: DataFrame) -> DataFrame:
     return out.withColumn("cluster_signature", signature(F.col("members")))
 
 
-def fresh_ids(shapes: DataFrame) -> DataFrame:
-    """Adds golden_id for an empty registry: G and six digits by the order of the sorted member lists.
+def fresh_ids(shapes: DataFrame, after: int = 0) -> DataFrame:
+    """Adds golden_id: G and at least six digits by the order of the sorted member lists, from ``after`` + 1 on.
 
     Numbers are given by partition sums over a range partitioning, so no task sorts all entities.
     """
-    ordered = materialise(shapes.select("cluster", "members").repartitionByRange("members").sortWithinPartitions("members").select("cluster", "members", F.spark_partition_id().alias("part")), "entity-order")
+    ordered = shapes.select("cluster", "members").repartitionByRange("members").sortWithinPartitions("members").select("cluster", "members", F.spark_partition_id().alias("part"))
+    ordered = materialise(ordered, "entity-order")
     place = F.row_number().over(Window.partitionBy("part").orderBy("members"))
     base = ordered.groupBy("part").agg(F.count("*").alias("n")).selectExpr("part", "coalesce(sum(n) over (order by part rows between unbounded preceding and 1 preceding), 0) as base")
-    numbered = ordered.withColumn("place", place).join(F.broadcast(base), "part").select("cluster", F.concat(F.lit("G"), F.lpad((F.col("base") + F.col("place")).cast("string"), 6, "0")).alias("golden_id"))
-    return shapes.join(numbered, "cluster")
+    number = (F.col("base") + F.col("place") + after).cast("long")
+    numbered = ordered.withColumn("place", place).join(F.broadcast(base), "part").select("cluster", F.format_string("G%06d", number).alias("golden_id"))
+    return shapes.join(numbered, "cluster").select(*shapes.columns, "golden_id")
 
 
-def assign_ids(found: Iterable[tuple[list[str], str]], registry: Iterable[tuple[str, str, bool]], previous: Iterable[tuple[str, str]]) -> list[tuple[str, str, str]]:
-    """(signature, golden_id, how) for clusters (members, signature); the sequential rule.
+def bootstrap(registry: DataFrame, entities: DataFrame, previous: DataFrame) -> DataFrame:
+    """The id registry; where it is empty, the ids and members of entities that were made before there was one."""
+    if not registry.isEmpty():
+        return registry
+    known = previous.join(entities.select("golden_id").distinct(), "golden_id", "left_semi").select("golden_id", F.concat_ws("::", *RECORD).alias("m"))
+    made = known.groupBy("golden_id").agg(signature(F.array_sort(F.collect_set("m"))).alias("cluster_signature")).withColumn("is_active", F.lit(True))
+    return registry.unionByName(made)
 
-    In the order of the member lists a cluster takes (a) the lowest unclaimed id with its signature,
-    retired ones included, (b) the unclaimed active id whose previous members it shares most (ties:
-    the lowest), (c) the next number never given. ``previous`` holds (member, golden_id) of active
-    entities only.
-    """
-    by_signature: dict[str, list[str]] = {}
-    active, top = set(), 0
-    for golden_id, sign, is_active in registry:
-        by_signature.setdefault(sign, []).append(golden_id)
-        if is_active:
-            active.add(golden_id)
-        if golden_id[1:].isdigit():
-            top = max(top, int(golden_id[1:]))
-    home = {m: g for m, g in previous if g in active}
+
+def _claim(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The sequential rule for clusters that compete for ids, in the order of their member lists; no id: a new one."""
     claimed: set[str] = set()
     out = []
-    for members, sign in sorted(found):
-        same = sorted(g for g in by_signature.get(sign, []) if g not in claimed)
-        shared: dict[str, int] = {}
-        for m in members:
-            if (g := home.get(m)) is not None and g not in claimed:
-                shared[g] = shared.get(g, 0) + 1
-        if same:
-            golden_id, how = same[0], "signature"
-        elif shared:
-            golden_id, how = min(shared, key=lambda g: (-shared[g], g)), "overlap"
+    for members, sign, same, shares in sorted(zip(map(list, pdf["members"]), pdf["cluster_signature"], pdf["same"], pdf["shares"]), key=lambda r: r[0]):
+        given = None
+        if same is not None and same not in claimed:
+            given = same
         else:
-            while True:
-                top += 1
-                if (golden_id := f"G{top:06d}") not in claimed:
-                    break
-            how = "new"
-        claimed.add(golden_id)
-        out.append((sign, golden_id, how))
-    return out
+            left = [(-s["shared"], s["golden_id"]) for s in (shares if shares is not None else []) if s["golden_id"] not in claimed]
+            given = min(left)[1] if left else None
+        if given is not None:
+            claimed.add(given)
+        out.append((sign, given))
+    return pd.DataFrame(out, columns=["cluster_signature", "golden_id"], dtype=object)
 
 
 def persistent_ids(shapes: DataFrame, registry: DataFrame, previous: DataFrame) -> DataFrame:
     """Adds golden_id to clusters, with the registry's ids kept; an empty registry numbers afresh.
 
-    Clusters whose signature is active in the registry, once, and whose members were all in that
-    entity keep their id without leaving the cluster: no other rule can reach it. Only changed
-    clusters (and what they could claim) go through the sequential rule on the driver.
+    The rule goes through the clusters in the order of their member lists. A cluster takes (a) the
+    lowest id with its signature, retired ones included, unless it is claimed, (b) the unclaimed
+    active id whose previous members it shares most (ties: the lowest), (c) the next number never
+    given. Clusters can only get in each other's way if ids that they could claim connect them, so:
+    a cluster whose signature's id no other can reach keeps it by a join; connected groups of the
+    others run the rule on their own; new numbers are given by partition sums. Nothing is collected.
     """
     if registry.isEmpty():
         return fresh_ids(shapes)
-    # an id can be contended only through its signature or its members, so the narrow rows suffice
-    rows = shapes.select("members", "cluster_signature").toPandas()
-    known = registry.select("golden_id", "cluster_signature", "is_active").toPandas()
-    homes = previous.select(F.concat_ws("::", *RECORD).alias("m"), "golden_id").toPandas()
-    given = assign_ids([(list(m), s) for m, s in zip(rows["members"], rows["cluster_signature"])], known.itertuples(index=False, name=None), homes.itertuples(index=False, name=None))
-    ids = shapes.sparkSession.createDataFrame([(s, g) for s, g, _ in given], "cluster_signature string, golden_id string")
-    return shapes.join(ids, "cluster_signature")
+    same = registry.groupBy("cluster_signature").agg(F.min("golden_id").alias("same"))
+    homes = previous.join(registry.where("is_active").select("golden_id"), "golden_id", "left_semi").select("golden_id", F.concat_ws("::", *RECORD).alias("m")).distinct()
+    shared = shapes.select("cluster_signature", F.explode("members").alias("m")).join(homes, "m").groupBy("cluster_signature", "golden_id").agg(F.count("*").alias("shared"))
+    overlaps = shared.groupBy("cluster_signature").agg(F.collect_list(F.struct("golden_id", "shared")).alias("shares"))
+    claims = materialise(shapes.select("cluster_signature", "members").join(same, "cluster_signature", "left").join(overlaps, "cluster_signature", "left"), "id-claims")
+    wanted = claims.select("cluster_signature", F.col("same").alias("golden_id")).where("golden_id is not null").unionByName(claims.select("cluster_signature", F.explode("shares.golden_id").alias("golden_id"))).distinct()
+    reach = wanted.groupBy("golden_id").agg(F.count("*").alias("clusters"))
+    plain = claims.join(reach.where("clusters = 1").select(F.col("golden_id").alias("same")), "same", "left_semi").select("cluster_signature", F.col("same").alias("golden_id"))
+    rest = claims.where("same is not null or shares is not null").join(plain.select("cluster_signature"), "cluster_signature", "left_anti")
+    edges = wanted.join(rest.select("cluster_signature"), "cluster_signature", "left_semi").select(F.concat(F.lit("c"), "cluster_signature").alias("a"), F.concat(F.lit("i"), "golden_id").alias("b"))
+    groups = connected_components(edges, in_one_task=SMALL_GRAPH).select(F.expr("substring(node, 2)").alias("cluster_signature"), "component")
+    ruled = rest.join(groups, "cluster_signature").groupBy("component").applyInPandas(_claim, "cluster_signature string, golden_id string")
+    given = materialise(plain.unionByName(ruled.where("golden_id is not null")), "ids-kept")
+    top = registry.where(F.col("golden_id").rlike("^G[0-9]+$")).agg(F.max(F.expr("cast(substring(golden_id, 2) as bigint)"))).first()[0] or 0
+    new = fresh_ids(shapes.join(given.select("cluster_signature"), "cluster_signature", "left_anti"), top)
+    return shapes.join(given, "cluster_signature").select(*shapes.columns, "golden_id").unionByName(new)
 
 
 def entities(identified: DataFrame) -> DataFrame:

@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from attesta.functions.expressions import strict_date
-from attesta.sources.config import Contract
+from attesta.sources.config import ConfigError, Contract
 
 VIOLATION = "file_name string, column_name string, violation_type string, severity string, violation_count long, sample_value string, contract_id string"
 BLOCKING = "CRITICAL"
+_TYPES = {
+    "TINYINT": "tinyint", "SMALLINT": "smallint", "INTEGER": "int", "INT": "int", "BIGINT": "bigint", "HUGEINT": "decimal(38,0)", "REAL": "float", "FLOAT": "float", "DOUBLE": "double",
+    "DECIMAL": "decimal(18,3)", "NUMERIC": "decimal(18,3)", "BOOLEAN": "boolean", "TIMESTAMP": "timestamp_ntz", "TIMESTAMPTZ": "timestamp", "UUID": "string", "TEXT": "string", "STRING": "string",
+}
 
 
 def _castable(c: Column, data_type: str) -> Column:
     """The value in its declared type, null if it has another form."""
     if data_type == "DATE":
         return strict_date(c)
-    types = {"INTEGER": "int", "BIGINT": "bigint", "DOUBLE": "double", "BOOLEAN": "boolean", "TIMESTAMP": "timestamp"}
-    return F.trim(c).try_cast(types[data_type])
+    name = data_type.strip().upper()
+    kind = _TYPES.get(name) or (name.lower() if re.fullmatch(r"(DECIMAL|NUMERIC)\s*\(\s*\d+\s*(,\s*\d+\s*)?\)", name) else None)
+    if kind is None:
+        raise ConfigError(f"no type {data_type}")
+    return F.trim(c).try_cast(kind)
 
 
 def check_frame(df: DataFrame | None, file_name: str, contracts: list[Contract]) -> DataFrame:
@@ -45,7 +54,7 @@ def check_frame(df: DataFrame | None, file_name: str, contracts: list[Contract])
         value = F.col(f"`{c.column_name}`")
         blank = value.isNull() | (F.trim(value) == "")
         wrong = ~blank & _castable(value, c.data_type).isNull() if c.data_type != "VARCHAR" else F.lit(False)
-        counts += [F.count(F.when(wrong, 1)).alias(f"wrong_{n}"), F.min(F.when(wrong, value)).alias(f"sample_{n}"), F.count(F.when(blank & F.lit(not c.is_nullable), 1)).alias(f"null_{n}")]
+        counts += [F.count(F.when(wrong, 1)).alias(f"wrong_{n}"), F.min(F.when(wrong, F.trim(value))).alias(f"sample_{n}"), F.count(F.when(blank & F.lit(not c.is_nullable), 1)).alias(f"null_{n}")]
     if counts:
         row = df.agg(*counts).first()  # one row, a few numbers per declared column
         for n, c in enumerate(present):
@@ -56,6 +65,13 @@ def check_frame(df: DataFrame | None, file_name: str, contracts: list[Contract])
     return spark.createDataFrame(found, VIOLATION)
 
 
+def run_row(violations: DataFrame, run_id: str, files: int) -> DataFrame:
+    """One row for the run's check: files checked, violations by weight, and the verdict."""
+    counts = violations.agg(F.count(F.when(F.col("severity") == BLOCKING, 1)).alias("critical_violations"), F.count("*").alias("total_violations"))
+    verdict = F.when(F.col("critical_violations") > 0, "BLOCKED").when(F.col("total_violations") > 0, "WARNING").otherwise("PASSED")
+    return counts.select(F.lit(run_id).alias("run_id"), F.lit(files).cast("long").alias("files_checked"), "critical_violations", "total_violations", verdict.alias("contract_status"))
+
+
 def gate(violations: DataFrame) -> str:
     """BLOCKED with any critical violation, else WARNING with any, else PASSED."""
     critical, n = violations.agg(F.count(F.when(F.col("severity") == BLOCKING, 1)), F.count("*")).first()

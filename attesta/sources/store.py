@@ -1,13 +1,15 @@
 """Tables as versioned Parquet snapshots.
 
-A table is a folder of versions and a pointer to the one that counts. A write makes a new version
-and moves the pointer last, so a reader never sees half a table and a run that dies leaves the old
-one. Works on any file system that Spark's Hadoop layer reaches.
+A table is a folder of versions and of pointers, of which the newest names the one that counts; a
+pointer is written last and never changed, so a reader never sees half a table and a run that dies
+leaves the old one. Tables with rows of each run have such a folder for each run. Works on any file
+system that Spark's Hadoop layer reaches.
 """
 
 from __future__ import annotations
 
 import uuid
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -20,6 +22,8 @@ class ConstraintError(ValueError):
 class TableStore:
     """Tables under ``root``; ``schemas`` (DDL) name the columns that a read must have."""
 
+    KEEP = 5  # versions of a table (or of a run's part of it) that stay
+
     def __init__(self, spark: SparkSession, root: str, schemas: dict[str, str] | None = None, keys: dict[str, list[str]] | None = None):
         self.spark, self.root = spark, root.rstrip("/")
         self.schemas = {t: StructType.fromDDL(d) for t, d in (schemas or {}).items()}
@@ -30,25 +34,48 @@ class TableStore:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def _current(self, name: str) -> str | None:
-        fs, p = self._fs(f"{self.root}/{name}/CURRENT")
-        if not fs.exists(p):
-            return None
-        return self.spark.read.text(f"{self.root}/{name}/CURRENT").first()[0]
+    def _names(self, path: str) -> list[str]:
+        fs, p = self._fs(path)
+        return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+
+    def _pointers(self, name: str) -> list[str]:
+        """Names of the pointers, in the order of their making; each names a version and is never changed."""
+        return sorted(n for n in self._names(f"{self.root}/{name}") if n.startswith("POINTER-"))
+
+    def _current(self, name: str) -> list[str]:
+        """Folders that make up the table: the version that the newest pointer names, and that of each run."""
+        parts = [name, *[f"{name}/{n}" for n in sorted(self._names(f"{self.root}/{name}")) if n.startswith("run=")]]
+        return [f"{self.root}/{part}/v-{newest[-1].split('-', 2)[2]}" for part in parts if (newest := self._pointers(part))]
 
     def exists(self, name: str) -> bool:
-        return self._current(name) is not None
+        return bool(self._current(name))
 
     def read(self, name: str) -> DataFrame:
         """The table; columns added to its schema since it was written are null, a table never written is empty."""
-        version = self._current(name)
-        if version is None:
+        folders = self._current(name)
+        if not folders:
             return self.spark.createDataFrame([], self.schemas[name])
-        df = self.spark.read.parquet(f"{self.root}/{name}/{version}")
+        df = self.spark.read.option("mergeSchema", len(folders) > 1).parquet(*folders)
         if name in self.schemas:
             df = df.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in self.schemas[name] if f.name not in df.columns])
         return df
 
+    def _point(self, name: str, version: str) -> None:
+        """A pointer to the version, beside the older ones: a reader sees the last before or this one, whenever a run dies.
+
+        Of the versions the newest ``KEEP`` stay, as frames read before may still be lazy.
+        """
+        old = self._pointers(name)
+        number = int(old[-1].split("-")[1]) + 1 if old else 0
+        fs, temp = self._fs(f"{self.root}/{name}/.{version}")
+        fs.create(temp, True).close()
+        target = self._fs(f"{self.root}/{name}/POINTER-{number:012d}-{version.removeprefix('v-')}")[1]
+        if not fs.rename(temp, target):
+            raise OSError(f"{name}: the pointer could not be written")
+        for pointer in old[: 1 - self.KEEP]:
+            fs.delete(self._fs(f"{self.root}/{name}/{pointer}")[1], False)
+            fs.delete(self._fs(f"{self.root}/{name}/v-{pointer.split('-', 2)[2]}")[1], True)
+
     def overwrite(self, name: str, df: DataFrame) -> DataFrame:
         """A new snapshot in place of the table; the key, where one is declared, must be unique and not null."""
         version = f"v-{uuid.uuid4().hex}"
@@ -58,22 +85,19 @@ class TableStore:
             bad = new.groupBy(*key).agg(F.count("*").alias("n")).where(F.expr("n > 1") | (F.greatest(*[F.col(k).isNull().cast("int") for k in key], F.lit(0)) > 0))
             if not bad.isEmpty():
                 raise ConstraintError(f"{name}: {key} repeats or is null")
-        fs, temp = self._fs(f"{self.root}/{name}/.CURRENT-{version}")
-        out = fs.create(temp, True)
-        out.write(bytearray(version.encode()))
-        out.close()
-        target = self._fs(f"{self.root}/{name}/CURRENT")[1]
-        if fs.exists(target):
-            fs.delete(target, False)
-        fs.rename(temp, target)
+        self._point(name, version)
         return self.read(name)
 
     def append(self, name: str, rows: DataFrame) -> DataFrame:
         return self.overwrite(name, self.read(name).unionByName(rows, allowMissingColumns=True))
 
     def replace_run(self, name: str, rows: DataFrame, run_id: str) -> DataFrame:
-        """The run's rows anew, other runs' rows kept: the same run twice gives the same table."""
-        return self.overwrite(name, self.read(name).where(F.col("run_id") != run_id).unionByName(rows, allowMissingColumns=True))
+        """The run's rows anew: the same run twice gives the same table. A run has a folder of its own, so other runs' rows are not touched."""
+        part = f"{name}/run={quote(run_id, safe='')}"
+        version = f"v-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.root}/{part}/{version}")
+        self._point(part, version)
+        return self.read(name)
 
     def insert_absent(self, name: str, rows: DataFrame) -> DataFrame:
         """Rows whose key is new; of several with one key one."""

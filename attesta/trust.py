@@ -23,7 +23,12 @@ _PROFILE = "golden_id string, nik string, full_name string, phone string, email
 SCHEMAS = {
     "dq_run": "run_id string, started_at timestamp_ntz, status string, total_records long",
     "golden_entity_identity": "golden_id string, cluster_signature string, is_active boolean",
+    "golden_entity": "golden_id string, entity_type string, entity_status string, has_conflict boolean, confidence string",
     "golden_entity_member": _MEMBER,
+    "contract_run": "run_id string, files_checked long, critical_violations long, total_violations long, contract_status string, checked_at timestamp_ntz",
+    "contract_violation": contract.VIOLATION + ", run_id string",
+    "dq_result": "run_id string, rule_id string, status string, message string, record_id string",
+    "dq_incident": "incident_id string, run_id string, rule_id string, dataset string, record_id string, severity string, incident_message string, incident_status string",
     "golden_customer_history": _PROFILE + ", valid_from timestamp_ntz, valid_to timestamp_ntz, is_current boolean, change_reason string",
     "golden_entity_member_history": _MEMBER + ", valid_from timestamp_ntz, valid_to timestamp_ntz, is_current boolean, change_reason string",
     "review_queue": ", ".join(f"{c} string" for c in review.QUEUE),
@@ -41,6 +46,14 @@ class GateBlocked(RuntimeError):
     """A gate said BLOCKED in a strict run."""
 
 
+class FreshStoreError(RuntimeError):
+    """A run that leaves out staging on a store where nothing was staged."""
+
+
+class StageFailed(RuntimeError):
+    """A stage ended with an error, which is the cause."""
+
+
 @dataclass
 class Run:
     """One run: where things are, when it is, and how configuration is read."""
@@ -60,6 +73,10 @@ class Run:
     def limits(self, scope: str) -> dict[str, float]:
         return config.thresholds(scope, f"{self.metadata}/thresholds.csv")
 
+    def rows(self, table: str) -> DataFrame:
+        """This run's rows of a table that keeps those of all runs."""
+        return self.store.read(table).where(F.col("run_id") == self.run_id)
+
     @property
     def at(self):
         return F.lit(self.now).cast("timestamp_ntz")
@@ -76,9 +93,10 @@ def _contract(run: Run) -> None:
         rows = contract.check_frame(run.files[name], name, declared)
         found = rows if found is None else found.unionByName(rows)
     if found is not None:
-        found = found.withColumn("run_id", F.lit(run.run_id))
-        run.store.overwrite("contract_violation", found)
-        run.gates["contract"] = contract.gate(run.store.read("contract_violation"))
+        run.store.replace_run("contract_violation", found.withColumn("run_id", F.lit(run.run_id)), run.run_id)
+        row = contract.run_row(run.rows("contract_violation"), run.run_id, len(run.files)).withColumn("checked_at", run.at)
+        run.store.replace_run("contract_run", row, run.run_id)
+        run.gates["contract"] = run.rows("contract_run").first()["contract_status"]
 
 
 def _staging(run: Run) -> None:
@@ -90,18 +108,19 @@ def _source_dq(run: Run) -> None:
     registry = config.rules(f"{run.metadata}/rules.csv")
     frame = rules.rule_frame(run.spark, registry)
     stg = run.store.read("stg_customer")
-    status = "FAILED" if not rules.run_rules(stg, registry, run.run_id).isEmpty() else "PASSED"
-    row = run.spark.createDataFrame([(run.run_id, run.now, status, stg.count())], SCHEMAS["dq_run"])
-    run.store.replace_run("dq_run", row, run.run_id)
-    results = run.store.overwrite("dq_result", rules.run_rules(stg, registry, run.run_id))
-    run.store.overwrite("dq_incident", rules.incidents(results, frame))
-    run.store.replace_run("quarantine_customer", rules.quarantine(stg, results, frame), run.run_id)
-    run.store.overwrite("dq_summary", rules.summary(frame, results, stg.count()))
+    store, total = run.store, stg.count()
+    store.replace_run("dq_result", rules.run_rules(stg, registry, run.run_id), run.run_id)
+    results = run.rows("dq_result")
+    status = "FAILED" if not results.isEmpty() else "PASSED"
+    store.replace_run("dq_run", run.spark.createDataFrame([(run.run_id, run.now, status, total)], SCHEMAS["dq_run"]), run.run_id)
+    store.replace_run("dq_incident", rules.incidents(results, frame), run.run_id)
+    store.replace_run("quarantine_customer", rules.quarantine(stg, results, frame), run.run_id)
+    store.replace_run("dq_summary", rules.summary(frame, results, total).withColumn("run_id", F.lit(run.run_id)), run.run_id)
 
 
 def _source_gate(run: Run) -> None:
     frame = rules.rule_frame(run.spark, config.rules(f"{run.metadata}/rules.csv"))
-    run.gates["source_gate"] = rules.source_gate(run.store.read("dq_result"), frame).first()["gate_status"]
+    run.gates["source_gate"] = rules.source_gate(run.rows("dq_result"), frame).first()["gate_status"]
 
 
 def _eligible(run: Run) -> None:
@@ -115,7 +134,8 @@ def _identity(run: Run) -> None:
     pairs = store.overwrite("identity_match_candidate", identity.candidates(unified, config.signals(f"{run.metadata}/signals.csv")))
     matches = store.overwrite("identity_match", identity.decide(pairs, run.limits("identity_decision")))
     store.overwrite("identity_resolution_decision", identity.rank(matches))
-    previous, registry = store.read("golden_entity_member"), store.read("golden_entity_identity")
+    previous = store.read("golden_entity_member")
+    registry = identity.bootstrap(store.read("golden_entity_identity"), store.read("golden_entity"), previous)
     steward = identity.steward_edges(store.read("identity_resolution_action"), previous, unified)
     clustered = identity.clusters(unified, matches, run.limits("identity_clustering")["trusted_edge_min_score"], steward)
     shapes = identity.entity_shapes(clustered, matches)
@@ -158,22 +178,23 @@ def _review(run: Run) -> None:
 def _scoring(run: Run) -> None:
     store, limits = run.store, run.limits("cdp_score")
     quality = store.read("golden_quality_score")
-    dims = scoring.dimensions(store.read("stg_customer").count(), store.read("quarantine_customer").where(F.col("run_id") == run.run_id), store.read("identity_metrics"), quality, store.read("cross_source_consistency"), store.read("review_queue"), limits)
+    dims = scoring.dimensions(store.read("stg_customer").count(), run.rows("quarantine_customer"), store.read("identity_metrics"), quality, store.read("cross_source_consistency"), store.read("review_queue"), limits)
     dims = store.overwrite("cdp_quality_dimension", scoring.overall(dims))
     store.overwrite("cdp_quality_score", scoring.overall_score(dims, quality, limits))
 
 
 def _publication_gate(run: Run) -> None:
     store = run.store
-    gate = store.overwrite("cdp_quality_gate", scoring.publication_gate(store.read("cdp_quality_score"), store.read("dq_summary"), store.read("golden_entity"), store.read("review_queue"), run.limits("cdp_gate")))
+    gate = store.overwrite("cdp_quality_gate", scoring.publication_gate(store.read("cdp_quality_score"), run.rows("dq_summary"), store.read("golden_entity"), store.read("review_queue"), run.limits("cdp_gate")))
     run.gates["publication_gate"] = gate.first()["gate_status"]
 
 
 def _reporting(run: Run) -> None:
     store = run.store
     store.overwrite("golden_lineage", lineage.build(store.read("golden_customer_attribute"), store.read("dq_attribute_result"), store.read("golden_entity_member"), store.read("identity_resolution_action"), store.read("golden_entity"), run.run_id, ["created_at", "run_id"]))
-    row = scoring.run_snapshot(run.run_id, run.at, store.read("stg_customer").count(), store.read("quarantine_customer").where(F.col("run_id") == run.run_id), store.read("dq_summary"), store.read("golden_entity"), store.read("golden_customer"), store.read("golden_quality_score"), store.read("review_queue"), store.read("cdp_quality_score"), store.read("cdp_quality_gate"))
+    row = scoring.run_snapshot(run.run_id, run.at, store.read("stg_customer").count(), run.rows("quarantine_customer"), run.rows("dq_summary"), store.read("golden_entity"), store.read("golden_customer"), store.read("golden_quality_score"), store.read("review_queue"), store.read("cdp_quality_score"), store.read("cdp_quality_gate"))
     store.replace_run("dq_run_history", row, run.run_id)
+    store.overwrite("dq_run_trend", scoring.trend(store.read("dq_run_history"), states=("gate_status",)))
 
 
 def _dashboard(run: Run) -> None:
@@ -181,12 +202,13 @@ def _dashboard(run: Run) -> None:
         return
     store = run.store
     score, gate = store.read("cdp_quality_score").first(), store.read("cdp_quality_gate").first()
-    cards = {"overall score": score["overall_score"], "status": score["overall_status"], "records": store.read("stg_customer").count(), "quarantined": store.read("quarantine_customer").select("customer_id").distinct().count(), "golden customers": store.read("golden_customer").count(), "open reviews": store.read("review_queue").where("status = 'OPEN'").count()}
+    cards = {"overall score": score["overall_score"], "status": score["overall_status"], "records": store.read("stg_customer").count(), "quarantined": run.rows("quarantine_customer").select("customer_id").distinct().count(), "golden customers": store.read("golden_customer").count(), "open reviews": store.read("review_queue").where("status = 'OPEN'").count()}
     order = {
         "cdp_quality_dimension": ["dimension"], "dq_summary": ["rule_id"], "identity_metrics": ["total_pairs"], "golden_quality_score": ["golden_id"], "cross_source_consistency": ["golden_id", "attribute_name"], "review_case": ["case_id"],
-        "review_queue": ["review_id"], "golden_customer": ["golden_id"], "golden_lineage": ["golden_id", "attribute_name"], "golden_customer_history": ["golden_id"], "dq_run_history": ["started_at"], "identity_match": ["source_customer_id"],
+        "review_queue": ["review_id"], "golden_customer": ["golden_id"], "golden_lineage": ["golden_id", "attribute_name"], "golden_customer_history": ["golden_id"], "dq_run_history": ["started_at"], "dq_run_trend": ["started_at"], "contract_run": ["checked_at"], "identity_match": ["source_customer_id"],
+        "review_case_member": ["case_id", "review_id"],
     }
-    page = dashboard.render(f"Run {run.run_id}", cards, gate["gate_status"], gate["blocking_reasons"] or gate["warning_reasons"], {t: (store.read(t), o) for t, o in order.items()})
+    page = dashboard.render(f"Run {run.run_id}", cards, gate["gate_status"], gate["blocking_reasons"] or gate["warning_reasons"], {t: (run.rows(t) if t == "dq_summary" else store.read(t), o) for t, o in order.items()})
     with open(run.dashboard_path, "w", encoding="utf-8") as f:
         f.write(page)
 
@@ -208,15 +230,22 @@ def select_stages(only: list[str] | None = None, start: str | None = None) -> li
 def execute(run: Run, stages: list[str], strict: bool = False) -> Run:
     """Run stages in order. The first that fails ends the run; a blocked gate does so only if ``strict``.
 
-    A run that does not check the sources again belongs to the latest run that did.
+    A run that does not check the sources again belongs to the latest run that did. Stages that read
+    what others write are refused on a store that has none of it.
     """
+    if "staging" not in stages and not run.store.exists("stg_customer") and set(stages) - {"contract"}:
+        raise FreshStoreError("the store holds no staged sources: run the staging stage first")
     if "source_dq" not in stages:
         last = run.store.read("dq_run").orderBy(F.desc("started_at"), F.desc("run_id")).first()
         run.run_id = last["run_id"] if last else run.run_id
     for name in stages:
         began = time.monotonic()
-        STAGES[name](run)
-        run.timings[name] = time.monotonic() - began
+        try:
+            STAGES[name](run)
+        except Exception as error:
+            raise StageFailed(name) from error
+        finally:
+            run.timings[name] = time.monotonic() - began
         if strict and name in GATES and run.gates.get(name) == "BLOCKED":
             raise GateBlocked(name)
     return run

@@ -97,6 +97,13 @@ def test_store(spark, tmp_path):
         with pytest.raises(ConstraintError):
             store.overwrite("t", bad)
     assert len(get()) == 4
+    for k in range(8):  # a run that dies before its pointer leaves the table as it was; old versions go
+        store.overwrite("t", frame(("a", k)))
+    frame(("z", 0)).write.parquet(f"file://{tmp_path}/t/v-unfinished")
+    assert get() == [("a", 7)] and len(list((tmp_path / "t").glob("POINTER-*"))) == store.KEEP
+    for run, v in (("R 1/x", 1), ("R2", 2), ("R 1/x", 3)):
+        store.replace_run("h", frame(("k", v)).withColumn("run_id", F.lit(run)), run)
+    assert sorted((r.run_id, r.v) for r in store.read("h").collect()) == [("R 1/x", 3), ("R2", 2)]
 
 
 def test_history(spark):
@@ -139,9 +146,12 @@ def test_cases_close_and_reopen(spark):
 
 
 def test_arrows_and_weights(spark):
-    cases = {(None, 1.0): "  -", (1.0, 1.04): "  =", (2.0, 1.0): "UP +1.0", (1.0, 2.5): "DOWN -1.5"}
+    cases = {(None, 1.0): "  -", (1.0, 1.04): "  =", (2.0, 1.0): "UP  +1.0", (1.0, 2.5): "DOWN -1.5"}
     for (a, b), want in cases.items():
         assert one(spark, scoring.arrow(F.lit(a).cast("double"), F.lit(b).cast("double"))) == want
+    assert one(spark, scoring.arrow(F.lit(2.0), F.lit(5.0), higher_is_better=False)) == "UP  -3.0" and one(spark, scoring.arrow(F.lit(5.0), F.lit(2.0), higher_is_better=False)) == "DOWN +3.0"
+    runs = spark.createDataFrame([("a", 1, 5, "BLOCKED"), ("b", 2, 2, "PASSED"), ("c", 3, 2, "PASSED")], "run_id string, started_at int, open_reviews int, gate_status string")
+    assert [(r.open_reviews_trend, r.gate_status_change) for r in scoring.trend(runs, {"open_reviews": False}, states=("gate_status",)).orderBy("run_id").collect()] == [("  -", None), ("UP  -3.0", "BLOCKED -> PASSED"), ("  =", None)]
     dims = spark.createDataFrame([("a", 50.0, 0.25, ""), ("b", None, 0.5, ""), ("c", 100.0, 0.25, "")], "dimension string, score double, weight double, detail string")
     assert {r.dimension: r.contribution for r in scoring.overall(dims).collect()} == {"a": 25.0, "b": None, "c": 50.0}
 
@@ -154,5 +164,8 @@ def test_components(spark):
     rng.shuffle(path)
     edges = list(zip(path, path[1:])) + [(100, 100), (200, 201), (201, 200), (None, 3)] + [(300, 300 + k) for k in range(1, 50)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), in_one_task=1000).collect()}
+    pairs = spark.createDataFrame([("x", "1", "a", "2"), ("b", "9", "a", "2")], "s1 string, k1 string, s2 string, k2 string").selectExpr("struct(s1 as s, k1 as k) as a", "struct(s2 as s, k2 as k) as b")
+    assert {tuple(r.component) for r in connected_components(pairs, in_one_task=9).collect()} == {("a", "2")}
     assert got == {**{k: 0 for k in range(40)}, 100: 100, 200: 200, 201: 200, **{300 + k: 300 for k in range(50)}}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0

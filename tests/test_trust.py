@@ -66,7 +66,9 @@ def test_rerun_and_approval(done, spark):
     before = {t: sorted(map(str, store.read(t).collect())) for t in ("golden_entity_member", "golden_customer_history", "golden_entity_member_history", "review_queue", "golden_entity_identity")}
     go(spark, store, T2)
     assert before == {t: sorted(map(str, store.read(t).collect())) for t in before}
-    assert store.read("dq_run_history").count() == 2
+    assert store.read("dq_run_history").count() == 2 and store.read("dq_summary").count() == 16 and store.read("dq_result").select("run_id").distinct().count() == 2
+    last = store.read("dq_run_trend").orderBy("started_at").collect()
+    assert last[0].overall_score_trend == "  -" and last[1].overall_score_trend == "  =" and last[1].gate_status_change is None
 
     queue, actions, note = review.resolve(store.read("review_queue").where("source_system = 'CRM'"), store.read("identity_resolution_action"), store.read("golden_entity"), decision="APPROVED", reason="seen", source="crm:CRM002", golden_id="G000002", action_id="a1")
     assert note == "" and queue.where("status = 'RESOLVED'").count() == 1
@@ -86,19 +88,80 @@ def test_rerun_and_approval(done, spark):
     assert store.read("golden_lineage").where("resolution_action = 'APPROVED'").count() > 0
 
 
-def test_registry_rules():
-    sign = lambda m: "s" + "".join(m)
-    found = lambda *ms: [(list(m), sign(m)) for m in ms]
-    assert identity.assign_ids(found("ab", "cd"), [], []) == [("sab", "G000001", "new"), ("scd", "G000002", "new")]
-    assert identity.assign_ids(found("xy"), [("G000007", "old", False)], [])[0][1] == "G000008"  # numbers are never given twice
-    assert identity.assign_ids(found("ab"), [("G000003", "sab", False)], [])[0][1:] == ("G000003", "signature")
-    grown = identity.assign_ids(found("abc"), [("G000001", "sab", True)], [("a", "G000001"), ("b", "G000001")])
-    assert grown[0][1:] == ("G000001", "overlap")
-    split = identity.assign_ids(found("ab", "cd"), [("G000001", "sabcd", True)], [(m, "G000001") for m in "abcd"])
-    assert [x[1] for x in split] == ["G000001", "G000002"]
-    # an earlier cluster's overlap may take the id that a later one has by signature
-    contended = identity.assign_ids(found("ac", "bd"), [("G000001", "sbd", True)], [("a", "G000001"), ("b", "G000001"), ("d", "G000001")])
-    assert [x[1:] for x in contended] == [("G000001", "overlap"), ("G000002", "new")]
+def one_by_one(found, registry, previous):
+    """The rule for ids, cluster by cluster: members -> id."""
+    top, claimed, out = max([int(g[1:]) for g, _, _ in registry if g[1:].isdigit()], default=0), set(), {}
+    active = {g for g, _, a in registry if a}
+    for members in sorted(found):
+        same = min((g for g, s, _ in registry if s == "|".join(members)), default=None)
+        shared = {}
+        for m, g in previous:
+            if m in members and g in active and g not in claimed:
+                shared[g] = shared.get(g, 0) + 1
+        if same is not None and same not in claimed:
+            out[members] = same
+        elif shared:
+            out[members] = min(shared, key=lambda g: (-shared[g], g))
+        else:
+            top += 1
+            out[members] = f"G{top:06d}"
+        claimed.add(out[members])
+    return out
+
+
+def given_ids(spark, found, registry, previous):
+    from pyspark.sql import functions as F
+
+    shapes = spark.createDataFrame([(f"c{k}", list(m), False, "|".join(m)) for k, m in enumerate(found)], "cluster string, members array<string>, has_conflict boolean, cluster_signature string")
+    known = spark.createDataFrame(registry, trust.SCHEMAS["golden_entity_identity"])
+    rows = spark.createDataFrame([(g, "S", m.split("::")[1]) for m, g in previous], "golden_id string, source_system string, source_customer_id string")
+    out = identity.persistent_ids(shapes, known, rows)
+    assert out.columns == [*shapes.columns, "golden_id"] and out.where(F.col("golden_id").isNull()).isEmpty()
+    return {tuple(r.members): r.golden_id for r in out.collect()}
+
+
+def test_registry_rules(spark):
+    m = lambda *names: tuple(f"S::{n}" for n in names)
+    sign = "|".join
+    own = lambda g, *names: [(x, g) for x in m(*names)]
+    cases = [
+        ([m("a", "b"), m("c", "d")], [], []),
+        ([m("x", "y")], [("G000007", "old", False)], []),  # numbers are never given twice
+        ([m("a", "b")], [("G000003", sign(m("a", "b")), False)], []),
+        ([m("a", "b", "c")], [("G000001", sign(m("a", "b")), True)], own("G000001", "a", "b")),
+        ([m("a", "b"), m("c", "d")], [("G000001", sign(m("a", "b", "c", "d")), True)], own("G000001", "a", "b", "c", "d")),
+        # an earlier cluster's overlap may take the id that a later one has by signature
+        ([m("a", "c"), m("b", "d")], [("G000001", sign(m("b", "d")), True)], own("G000001", "a", "b", "d")),
+        # of several ids with a signature only the lowest counts
+        ([m("a", "c"), m("b", "d")], [("G000001", sign(m("b", "d")), True), ("G000002", sign(m("b", "d")), True)], own("G000001", "a") + own("G000002", "x")),
+        ([m("a", "b"), m("p", "q")], [("G1999999", "old", True), ("G000004", sign(m("p", "q")), True)], own("G000004", "p", "q")),  # seven digits are not cut
+    ]
+    for found, registry, previous in cases:
+        assert given_ids(spark, found, registry, previous) == one_by_one(found, registry, previous)
+    assert given_ids(spark, *cases[-1])[m("a", "b")] == "G2000000"
+
+
+def test_registry_rules_at_random(spark):
+    import random
+
+    rng = random.Random(3)
+    for _ in range(3):
+        deal = lambda n: [tuple(sorted(g)) for g in {k: [f"S::{i:03d}" for i in range(80) if (i * 7 + rng.randrange(2)) % n == k] for k in range(n)}.values() if len(g) > 1]
+        before, found = deal(17), deal(17) + [("S::900", "S::901")]
+        registry = [(f"G{k + 1:06d}", "|".join(g), rng.random() < 0.8) for k, g in enumerate(before)]
+        found[0] = before[3] if not set(before[3]) & {x for f in found[1:] for x in f} else found[0]
+        previous = [(x, f"G{k + 1:06d}") for k, g in enumerate(before) for x in g]
+        assert given_ids(spark, found, registry, previous) == one_by_one(found, registry, previous)
+
+
+def test_registry_is_bootstrapped(spark):
+    entities = spark.createDataFrame([("G000009", "CUSTOMER", "ACTIVE", False, "HIGH")], trust.SCHEMAS["golden_entity"])
+    members = spark.createDataFrame([("G000009", s, k, "CONFIRMED", "HIGH") for s, k in (("B", "2"), ("A", "1"))] + [("G000010", "A", "7", "CONFIRMED", "HIGH")], trust.SCHEMAS["golden_entity_member"])
+    empty = spark.createDataFrame([], trust.SCHEMAS["golden_entity_identity"])
+    made = identity.bootstrap(empty, entities, members).collect()
+    shape = identity.entity_shapes(spark.createDataFrame([("A", "1", "c"), ("B", "2", "c")], "source_system string, source_customer_id string, cluster string"), spark.createDataFrame([], "match_status string, source_system string, source_customer_id string, candidate_source_system string, candidate_source_customer_id string")).first()
+    assert [(r.golden_id, r.cluster_signature, r.is_active) for r in made] == [("G000009", shape.cluster_signature, True)]
+    assert identity.bootstrap(spark.createDataFrame(made, empty.schema), entities.limit(0), members).count() == 1
 
 
 def test_attachment_follows_the_order(spark):
@@ -122,3 +185,29 @@ def test_stage_selection():
     assert trust.select_stages(start="scoring")[0] == "scoring" and len(trust.select_stages()) == 13
     with pytest.raises(KeyError):
         trust.select_stages(start="nowhere")
+
+
+def test_fresh_store_and_failing_stage(spark, tmp_path, monkeypatch):
+    store = TableStore(spark, f"file://{tmp_path}", trust.SCHEMAS, trust.KEYS)
+    with pytest.raises(trust.FreshStoreError):
+        go(spark, store, T1, ["identity"])
+
+    def broken(run):
+        raise KeyError("x")
+
+    monkeypatch.setitem(trust.STAGES, "staging", broken)
+    with pytest.raises(trust.StageFailed) as failed:
+        go(spark, store, T1, ["staging", "source_dq"])
+    assert isinstance(failed.value.__cause__, KeyError)
+
+
+def test_contract_runs_are_kept(spark, tmp_path):
+    store = TableStore(spark, f"file://{tmp_path}", trust.SCHEMAS, trust.KEYS)
+    names = ["source_customer_id", "nik", "full_name", "phone", "email", "birth_date"]
+    good = spark.createDataFrame([("1", "n", "f", "p", "e", "1980-01-01")], ", ".join(f"{n} string" for n in names))
+    for k, (frame, want) in enumerate([(good, "PASSED"), (None, "BLOCKED"), (good.withColumn("more", good.nik), "WARNING")]):
+        run = trust.Run(spark, store, f"R{k}", T1, None, {}, {"crm_customer.csv": frame})
+        trust.execute(run, ["contract"])
+        assert run.gates["contract"] == want
+    assert [(r.run_id, r.contract_status, r.total_violations) for r in store.read("contract_run").orderBy("run_id").collect()] == [("R0", "PASSED", 0), ("R1", "BLOCKED", 1), ("R2", "WARNING", 1)]
+    assert store.read("contract_violation").count() == 2
