@@ -46,6 +46,15 @@ _SHAPES = {"embed": (VOCAB + 1, DIM), "scale": (2 * WINDOW, DIM), "shift": (DIM,
 _SIZE = sum(int(np.prod(s)) for s in _SHAPES.values())
 
 
+def _normalised(logits: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Softmax of each row of ``logits`` + ``bias``, in place. Hidden values lie in -1 to 1, so the largest logit of a batch shifts all rows safely."""
+    logits += bias
+    logits -= logits.max()
+    np.exp(logits, out=logits)
+    logits *= (np.float32(1) / np.maximum(logits @ np.ones(logits.shape[1], logits.dtype), np.float32(1e-30)))[:, None]
+    return logits
+
+
 class Network:
     """Weights as views of one flat float32 vector."""
 
@@ -66,34 +75,28 @@ class Network:
         net.word_b[:] = share - net.class_b[:, None]
         return net
 
-    def hidden(self, context: np.ndarray) -> np.ndarray:
-        h = np.repeat(self.shift[None], len(context), 0)
-        for j in range(2 * WINDOW):
-            h += self.embed[context[:, j]] * self.scale[j]
+    def hidden(self, seen: list[np.ndarray]) -> np.ndarray:
+        """Hidden vectors from the embeddings at each place of the window."""
+        h = seen[0] * self.scale[0] + self.shift
+        for j in range(1, 2 * WINDOW):
+            h += seen[j] * self.scale[j]
         return np.tanh(h, out=h)
 
     def _softmax(self, h: np.ndarray, classes: np.ndarray):
         """Class probabilities, and for each class met: (its rows, probabilities within it)."""
-        a = h @ self.class_w.T + self.class_b
-        a -= a.max(1, keepdims=True)
-        np.exp(a, out=a)
-        a /= a.sum(1, keepdims=True)
+        a = _normalised(h @ self.class_w.T, self.class_b)
         order = np.argsort(classes.astype(np.uint8), kind="stable")
         ends = np.searchsorted(classes[order], np.arange(CLASSES + 1))
         inner = []
         for c in range(CLASSES):
             rows = order[ends[c] : ends[c + 1]]
             if len(rows):
-                p = h[rows] @ self.word_w[c].T + self.word_b[c]
-                p -= p.max(1, keepdims=True)
-                np.exp(p, out=p)
-                p /= p.sum(1, keepdims=True)
-                inner.append((c, rows, p))
+                inner.append((c, rows, _normalised(h[rows] @ self.word_w[c].T, self.word_b[c])))
         return a, inner
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         classes, within = target // IN_CLASS, target % IN_CLASS
-        a, inner = self._softmax(self.hidden(context), classes)
+        a, inner = self._softmax(self.hidden([self.embed[context[:, j]] for j in range(2 * WINDOW)]), classes)
         p = a[np.arange(len(target)), classes]
         for _, rows, q in inner:
             p[rows] *= q[np.arange(len(rows)), within[rows]]
@@ -104,7 +107,8 @@ class Network:
         n = len(target)
         g = Network(np.zeros(_SIZE, np.float32))
         classes, within = target // IN_CLASS, target % IN_CLASS
-        h = self.hidden(context)
+        seen = [self.embed[context[:, j]] for j in range(2 * WINDOW)]
+        h = self.hidden(seen)
         a, inner = self._softmax(h, classes)
         a[np.arange(n), classes] -= 1
         a /= n
@@ -118,12 +122,11 @@ class Network:
         dh *= 1 - h * h
         g.shift[:] = dh.sum(0)
         for j in range(2 * WINDOW):
-            e = self.embed[context[:, j]]
-            g.scale[j] = (dh * e).sum(0)
+            g.scale[j] = np.einsum("ij,ij->j", dh, seen[j])
             order = np.argsort(context[:, j].astype(np.uint16), kind="stable")
             ids = context[order, j]
             first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-            g.embed[ids[first]] += np.add.reduceat((dh * self.scale[j])[order], first, axis=0)
+            g.embed[ids[first]] += np.add.reduceat(dh[order], first, axis=0) * self.scale[j]
         return g.flat
 
     def train(self, batches: Iterator[tuple[np.ndarray, np.ndarray]], rate: float) -> int:
@@ -145,7 +148,7 @@ def contexts(ids: np.ndarray, first: np.ndarray, positions: np.ndarray) -> np.nd
     for j, d in enumerate([*range(-WINDOW, 0), *range(1, WINDOW + 1)]):
         at = positions + d
         inside = (at >= low) & (at < high)
-        out[:, j] = np.where(inside, ids[np.where(inside, at, 0)], PAD)
+        out[:, j] = np.where(inside, np.take(ids, at, mode="clip"), PAD)
     return out
 
 
