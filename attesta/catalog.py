@@ -156,11 +156,7 @@ def profile_ages(spark, sf_dir):
 
 
 def staging_tests(spark, sf_dir):
-    tests = {
-        "not_null_customer_id": F.col("customer_id").isNull(), "not_null_nik": F.col("nik").isNull(), "not_null_email": F.col("email").isNull(), "valid_nik": F.col("nik").isNotNull() & ~F.col("nik").rlike(r"^[0-9]{16}\z"),
-        "valid_phone": F.col("phone").isNotNull() & ~F.col("phone").rlike(r"^08[0-9]{8,13}\z"), "valid_birth_date": F.col("birth_date") > F.lit(TODAY),
-    }
-    return profile.failing_tests(master(spark, sf_dir), tests)
+    return profile.staging_tests(master(spark, sf_dir), F.lit(TODAY))
 
 
 def attribute_dq(spark, sf_dir):

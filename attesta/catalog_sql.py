@@ -201,7 +201,8 @@ select rule_id, failed_records, (n - failed_records)::double / n * 100.0 as pass
     "profile_format_status": _q(_U, "select case when phone is null then 'NULL' when regexp_full_match(phone, '08[0-9]{8,13}') then 'VALID' else 'INVALID' end as format_status, count(*) as n from u group by 1"),
     "profile_ages": _q(_U, f"select min(birth_date) as first_date, max(birth_date) as last_date, min(date_diff('year', birth_date, {TODAY})) as min_years, max(date_diff('year', birth_date, {TODAY})) as max_years, count(*) filter (where birth_date > {TODAY}) as future from u"),
     "staging_tests": _q(_STG, " union all ".join(f"select '{n}' as test_name, count(*) as failing from stg where {p}" for n, p in {
-        "not_null_customer_id": "customer_id is null", "not_null_nik": "nik is null", "not_null_email": "email is null", "valid_nik": "not regexp_full_match(nik, '[0-9]{16}')", "valid_phone": "not regexp_full_match(phone, '08[0-9]{8,13}')", "valid_birth_date": f"birth_date > {TODAY}"}.items())),
+        "not_null_customer_id": "customer_id is null", "not_null_nik": "nik is null", "not_null_email": "email is null", "valid_nik": "not regexp_full_match(nik, '[0-9]{16}')", "valid_phone": "not regexp_full_match(phone, '08[0-9]{8,13}')", "valid_birth_date": f"birth_date > {TODAY}", "valid_email": "not regexp_full_match(lower(email), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')"}.items()) + "".join(
+        f" union all select 'unique_{c}', count(*) from (select {c} from stg where {c} is not null group by 1 having count(*) > 1)" for c in ("customer_id", "nik"))),
     "attribute_dq": _q(_U + _VERDICTS, "select * from attr_dq"),
     "identity_candidates": _q(_PAIRS, "select * from pairs"),
     "identity_decision": _q(_MATCHES, "select source_system, source_customer_id, candidate_source_system, candidate_source_customer_id, match_score, match_status, matched_on, reason from matches"),

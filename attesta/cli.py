@@ -5,7 +5,6 @@ from __future__ import annotations
 import argparse
 import uuid
 from datetime import datetime, timezone
-from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -27,6 +26,8 @@ def _parser() -> argparse.ArgumentParser:
     run.add_argument("--stage", action="append", help="a stage to run; give it several times for several stages")
     run.add_argument("--from", dest="start", help="first stage to run, with all that follow")
     run.add_argument("--strict", action="store_true", help="stop with an error at a gate that says BLOCKED")
+    run.add_argument("--generate", action="store_true", help="write made-up sources to the data folder first")
+    run.add_argument("--test", action="store_true", help="test the staged master rows at the end")
     run.add_argument("--dry-run", action="store_true", help="show what would run")
     run.add_argument("--dashboard", help="write the page here")
     steward = parts.add_parser("review", help="list reviews and decide")
@@ -48,19 +49,17 @@ def _parser() -> argparse.ArgumentParser:
 
 
 def _run(spark, store: TableStore, a: argparse.Namespace) -> int:
-    stages = trust.select_stages(a.stage, a.start)
+    stages = trust.select_stages(a.stage, a.start, a.generate, a.test)
     if a.list or a.dry_run:
-        print("\n".join(list(trust.STAGES) if a.list else stages))
+        print("\n".join([*trust.STAGES, *trust.OPT_IN] if a.list else stages))
         return 0
     now = datetime.now(timezone.utc).replace(tzinfo=None)
-    data = Path(a.data or ".")
-    files = {f: staging.read_text_csv(spark, str(data / f)) if (data / f).exists() else None for f in ["customer.csv", *staging.SYSTEMS.values()]}
-    if a.data is None and {"staging", "contract"} & set(stages):
-        print("--data is needed to stage sources")
+    if a.data is None and {"generate", "staging", "contract"} & set(stages):
+        print("--data is needed to generate, check or stage sources")
         return 1
-    seed = lambda f: staging.read_seed(spark, str(data / f))
-    needs = "staging" in stages
-    run = trust.Run(spark, store, now.strftime("RUN-%Y%m%d-%H%M%S"), now, seed("customer.csv") if needs else None, {s: seed(f) for s, f in staging.SYSTEMS.items()} if needs else {}, files, dashboard_path=a.dashboard)
+    run = trust.Run(spark, store, now.strftime("RUN-%Y%m%d-%H%M%S"), now, None, {}, dashboard_path=a.dashboard, data=a.data)
+    if a.data is not None:
+        run.load()
     code = 0
     try:
         trust.execute(run, stages, a.strict)
@@ -78,6 +77,9 @@ def _run(spark, store: TableStore, a: argparse.Namespace) -> int:
     left = [n for n in stages if n not in run.timings]
     if left:
         print(f"not run: {', '.join(left)}")
+    if code == 0 and "test" in stages:
+        for row in store.read("staging_test").orderBy("test_name").collect():  # a row for each test
+            print(f"{row['test_name']:24s} {'passed' if row['failing'] == 0 else str(row['failing']) + ' failing'}")
     if code == 0 and "reporting" in stages:
         last = store.read("dq_run_trend").orderBy(F.desc("started_at"), F.desc("run_id")).first()
         for m in scoring.MEASURES:

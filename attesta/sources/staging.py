@@ -11,6 +11,11 @@ SOURCE_COLUMNS = ["source_customer_id", *ATTRIBUTES]
 SYSTEMS = {"CRM": "crm_customer.csv", "LOS": "los_customer.csv", "MOBILE": "mobile_customer.csv"}
 
 
+def file_exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV file with a header, every column text (types are declared, never inferred); empty fields are null."""
     header = spark.read.option("header", True).option("escape", '"').csv(path).columns

@@ -14,8 +14,8 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from attesta.operators import attributes, golden, identity, review, rules, scoring
-from attesta.reporting import dashboard, lineage
-from attesta.sources import config, contract, staging
+from attesta.reporting import dashboard, lineage, profile
+from attesta.sources import config, contract, generate, staging
 from attesta.sources.store import TableStore
 
 _MEMBER = "golden_id string, source_system string, source_customer_id string, membership_status string, membership_confidence string"
@@ -62,10 +62,11 @@ class Run:
     store: TableStore
     run_id: str
     now: datetime
-    master: DataFrame
+    master: DataFrame | None
     sources: dict[str, DataFrame]
     files: dict[str, DataFrame | None] = field(default_factory=dict)
     metadata: str = str(config.METADATA)
+    data: str | None = None
     dashboard_path: str | None = None
     gates: dict[str, str] = field(default_factory=dict)
     timings: dict[str, float] = field(default_factory=dict)
@@ -73,6 +74,14 @@ class Run:
     def limits(self, scope: str) -> dict[str, float]:
         return config.thresholds(scope, f"{self.metadata}/thresholds.csv")
 
+    def load(self) -> None:
+        """Sources and files from the data folder; files that are not there are None."""
+        names = ["customer.csv", *staging.SYSTEMS.values()]
+        self.files = {n: staging.read_text_csv(self.spark, f"{self.data}/{n}") if staging.file_exists(self.spark, f"{self.data}/{n}") else None for n in names}
+        seed = lambda n: staging.read_seed(self.spark, f"{self.data}/{n}")
+        self.master = seed("customer.csv") if self.files["customer.csv"] is not None else None
+        self.sources = {s: seed(n) for s, n in staging.SYSTEMS.items() if self.files[n] is not None}
+
     def rows(self, table: str) -> DataFrame:
         """This run's rows of a table that keeps those of all runs."""
         return self.store.read(table).where(F.col("run_id") == self.run_id)
@@ -100,6 +109,8 @@ def _contract(run: Run) -> None:
 
 
 def _staging(run: Run) -> None:
+    if run.master is None or set(run.sources) != set(staging.SYSTEMS):
+        raise FileNotFoundError("a master file and one file for each source system are needed to stage sources")
     run.store.overwrite("stg_customer", staging.stage_master(run.master))
     run.store.overwrite("customer_unified", staging.unify(run.sources))
 
@@ -213,18 +224,36 @@ def _dashboard(run: Run) -> None:
         f.write(page)
 
 
+def _generate(run: Run) -> None:
+    if run.data is None:
+        raise ValueError("generating sources needs a data folder")
+    generate.generate(run.spark, run.data)
+    run.load()
+
+
+def _test(run: Run) -> None:
+    run.store.overwrite("staging_test", profile.staging_tests(run.store.read("stg_customer"), run.today))
+
+
 STAGES: dict[str, Callable[[Run], None]] = {
     "contract": _contract, "staging": _staging, "source_dq": _source_dq, "source_gate": _source_gate, "eligible": _eligible, "identity": _identity, "attribute_dq": _attribute_dq,
     "golden": _golden, "review": _review, "scoring": _scoring, "publication_gate": _publication_gate, "reporting": _reporting, "dashboard": _dashboard,
 }
 
 
-def select_stages(only: list[str] | None = None, start: str | None = None) -> list[str]:
-    """Names to run: ``only`` in its own order, else all from ``start`` on."""
+#: Stages that run only when they are asked for.
+OPT_IN: dict[str, Callable[[Run], None]] = {"generate": _generate, "test": _test}
+
+
+def select_stages(only: list[str] | None = None, start: str | None = None, generate: bool = False, test: bool = False) -> list[str]:
+    """Names to run: ``only`` in its own order, whatever else is given; else all from ``start`` on (an opt-in stage: that alone), with the opt-in stages asked for before and after."""
     names = list(STAGES)
-    if unknown := [n for n in [*(only or []), *([start] if start else [])] if n not in STAGES]:
+    if unknown := [n for n in [*(only or []), *([start] if start else [])] if n not in STAGES and n not in OPT_IN]:
         raise KeyError(f"no stage {', '.join(unknown)}")
-    return list(only) if only else names[names.index(start) :] if start else names
+    if only:
+        return list(only)
+    chosen = names if start is None else [start] if start in OPT_IN else names[names.index(start) :]
+    return [*(["generate"] if generate else []), *chosen, *(["test"] if test else [])]
 
 
 def execute(run: Run, stages: list[str], strict: bool = False) -> Run:
@@ -233,7 +262,7 @@ def execute(run: Run, stages: list[str], strict: bool = False) -> Run:
     A run that does not check the sources again belongs to the latest run that did. Stages that read
     what others write are refused on a store that has none of it.
     """
-    if "staging" not in stages and not run.store.exists("stg_customer") and set(stages) - {"contract"}:
+    if "staging" not in stages and not run.store.exists("stg_customer") and set(stages) - {"contract", "generate"}:
         raise FreshStoreError("the store holds no staged sources: run the staging stage first")
     if "source_dq" not in stages:
         last = run.store.read("dq_run").orderBy(F.desc("started_at"), F.desc("run_id")).first()
@@ -241,7 +270,7 @@ def execute(run: Run, stages: list[str], strict: bool = False) -> Run:
     for name in stages:
         began = time.monotonic()
         try:
-            STAGES[name](run)
+            {**STAGES, **OPT_IN}[name](run)
         except Exception as error:
             raise StageFailed(name) from error
         finally:

@@ -5,6 +5,7 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import people
@@ -110,8 +111,6 @@ def one_by_one(found, registry, previous):
 
 
 def given_ids(spark, found, registry, previous):
-    from pyspark.sql import functions as F
-
     shapes = spark.createDataFrame([(f"c{k}", list(m), False, "|".join(m)) for k, m in enumerate(found)], "cluster string, members array<string>, has_conflict boolean, cluster_signature string")
     known = spark.createDataFrame(registry, trust.SCHEMAS["golden_entity_identity"])
     rows = spark.createDataFrame([(g, "S", m.split("::")[1]) for m, g in previous], "golden_id string, source_system string, source_customer_id string")
@@ -183,6 +182,8 @@ def test_attachment_follows_the_order(spark):
 def test_stage_selection():
     assert trust.select_stages(only=["scoring", "identity"]) == ["scoring", "identity"]
     assert trust.select_stages(start="scoring")[0] == "scoring" and len(trust.select_stages()) == 13
+    assert trust.select_stages(only=["review"], generate=True, test=True) == ["review"] and trust.select_stages(start="test") == ["test"]
+    assert trust.select_stages(start="dashboard", generate=True, test=True) == ["generate", "dashboard", "test"]
     with pytest.raises(KeyError):
         trust.select_stages(start="nowhere")
 
@@ -211,3 +212,22 @@ def test_contract_runs_are_kept(spark, tmp_path):
         assert run.gates["contract"] == want
     assert [(r.run_id, r.contract_status, r.total_violations) for r in store.read("contract_run").orderBy("run_id").collect()] == [("R0", "PASSED", 0), ("R1", "BLOCKED", 1), ("R2", "WARNING", 1)]
     assert store.read("contract_violation").count() == 2
+
+
+def test_made_up_sources(spark, tmp_path, capsys):
+    from attesta import cli
+    from attesta.sources import generate
+
+    data, copy = f"file://{tmp_path}/data", f"file://{tmp_path}/copy"
+    (tmp_path / "data").mkdir()
+    store = TableStore(spark, f"file://{tmp_path}/store", trust.SCHEMAS, trust.KEYS)
+    args = cli._parser().parse_args(["--store", store.root, "run", "--data", data, "--generate", "--test", "--stage", "generate", "--stage", "contract", "--stage", "staging", "--stage", "source_dq", "--stage", "identity", "--stage", "test"])
+    assert cli._run(spark, store, args) == 0
+    said = capsys.readouterr().out
+    assert "contract" in said and "PASSED" in said and "unique_nik" in said
+    failing = {r.test_name: r.failing for r in store.read("staging_test").collect()}
+    assert failing["not_null_nik"] == 1 and failing["valid_phone"] == 1 and failing["valid_birth_date"] == 1 and failing["unique_nik"] == 1 and failing["unique_customer_id"] == 0
+    status = [r.match_status for r in store.read("identity_match").collect()]
+    assert status.count("CONFLICT") >= 1 and status.count("MATCH") >= 4 and store.read("golden_entity").count() == 4
+    assert generate.sync_seeds(spark, data, copy) == ["customer.csv", *cli.staging.SYSTEMS.values()] and generate.sync_seeds(spark, f"{data}/none", copy) == []
+    assert [spark.range(1).select(generate.cleaned(F.lit(v))).first()[0] for v in (" 12.0 ", " ", "a.0", None)] == ["12", None, "a.0", None]
