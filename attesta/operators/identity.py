@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from attesta.functions.expressions import folded, percent, signature
@@ -94,18 +97,16 @@ def steward_edges(actions: DataFrame, previous: DataFrame, unified: DataFrame) -
     return alive.join(alive.groupBy("golden_id").agg(F.min("b").alias("a")), "golden_id").where("a <> b").select("a", "b")
 
 
-def _attach(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The greedy rule for one connected group of clusters and conflicts, in the order of its conflict pairs.
+def attach(home: dict[str, str], pairs: Iterable[tuple[str, str]]) -> dict[str, str]:
+    """The greedy rule for one connected group of clusters and conflicts: member -> cluster, after its conflict pairs in their order.
 
     A conflict between a record on its own and a cluster of two or more moves the record into the
     cluster; sizes change as it goes. Two single records, or two clusters, stay apart.
     """
-    home = {m: c for m, c in zip(pdf["member"], pdf["cluster"]) if m is not None}
     size: dict[str, int] = {}
     for c in home.values():
         size[c] = size.get(c, 0) + 1
-    pairs = pdf[pdf["left"].notna()].sort_values(["left_key", "right_key", "left", "right"], kind="stable")
-    for a, b in zip(pairs["left"], pairs["right"]):
+    for a, b in pairs:
         if home[a] == home[b]:
             continue
         if size[home[a]] >= 2 and size[home[b]] == 1:
@@ -114,7 +115,34 @@ def _attach(pdf: pd.DataFrame) -> pd.DataFrame:
             size[home[a]] -= 1
             size[home[b]] += 1
             home[a] = home[b]
-    return pd.DataFrame({"member": list(home), "cluster": list(home.values())}, dtype=object)
+    return home
+
+
+def _attach_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (grp, member, cluster, left, right), a group's together and its pairs in order -> (member, cluster); a group is held at a time."""
+
+    def moved(home: dict[str, str], pairs: list[tuple[str, str]]) -> pa.RecordBatch:
+        out = attach(home, pairs)
+        return pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.string())], names=["member", "cluster"])
+
+    last, home, pairs, done = None, {}, [], {}
+    for batch in batches:
+        for grp, member, cluster, left, right in zip(*(batch.column(c).to_pylist() for c in range(5))):
+            if grp != last and last is not None:
+                done.update(attach(home, pairs))
+                home, pairs = {}, []
+                if len(done) > 10_000:
+                    yield moved(done, [])
+                    done = {}
+            last = grp
+            if member is not None:
+                home[member] = cluster
+            else:
+                pairs.append((left, right))
+    if last is not None:
+        done.update(attach(home, pairs))
+    if done:
+        yield moved(done, [])
 
 
 def clusters(unified: DataFrame, matches: DataFrame, least: float, steward: DataFrame | None = None) -> DataFrame:
@@ -137,7 +165,8 @@ def clusters(unified: DataFrame, matches: DataFrame, least: float, steward: Data
     inside = placed.join(active, "node").select(_name(F.col("grp")).alias("grp"), _name(F.col("node")).alias("member"), _name(F.col("cluster")).alias("cluster"))
     pair_rows = conflicts.join(active.withColumnRenamed("node", "a"), "a").select(_name(F.col("grp")).alias("grp"), _name(F.col("a")).alias("left"), _name(F.col("b")).alias("right"), F.col("a.k").alias("left_key"), F.col("b.k").alias("right_key"))
     rows = inside.unionByName(pair_rows, allowMissingColumns=True)
-    moved = rows.groupBy("grp").applyInPandas(_attach, "member string, cluster string")
+    ordered = rows.repartition("grp").sortWithinPartitions("grp", "left_key", "right_key", "left", "right")
+    moved = ordered.select("grp", "member", "cluster", "left", "right").mapInArrow(_attach_groups, "member string, cluster string")
     named = placed.join(active, "node", "left_anti").select(_name(F.col("node")).alias("member"), _name(F.col("cluster")).alias("cluster")).unionByName(moved)
     kept = named.join(named.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster"), "cluster")
     return kept.select(F.substring_index("member", "::", 1).alias("source_system"), F.expr("substring(member, instr(member, '::') + 2)").alias("source_customer_id"), "cluster")

@@ -163,13 +163,15 @@ def test_registry_is_bootstrapped(spark):
     assert identity.bootstrap(spark.createDataFrame(made, empty.schema), entities.limit(0), members).count() == 1
 
 
-def test_attachment_follows_the_order(spark):
-    import pandas as pd
+def test_attachment_follows_the_order():
+    import pyarrow as pa
 
     def run(clusters, pairs):
-        rows = [{"member": m, "cluster": c} for m, c in clusters.items()] + [{"left": a, "right": b, "left_key": a, "right_key": b} for a, b in pairs]
-        out = identity._attach(pd.DataFrame(rows, columns=["member", "cluster", "left", "right", "left_key", "right_key"]).astype(object).where(lambda d: d.notna(), None))
-        return dict(zip(out["member"], out["cluster"]))
+        group = lambda g: [(g, m + g, c + g, None, None) for m, c in clusters.items()] + [(g, None, None, a + g, b + g) for a, b in pairs]
+        rows = pa.table(dict(zip(["grp", "member", "cluster", "left", "right"], zip(*group(""), *group("1")))))
+        out = dict(kv for batch in identity._attach_groups(iter(rows.to_batches(max_chunksize=2))) for kv in zip(*(batch.column(c).to_pylist() for c in (0, 1))))
+        assert {m[:-1]: c[:-1] for m, c in out.items() if m.endswith("1")} == {m: c for m, c in out.items() if not m.endswith("1")}
+        return {m: c for m, c in out.items() if not m.endswith("1")}
 
     base = {"a": "A", "b": "A", "s": "s", "t": "t"}
     assert run(base, [("a", "s")])["s"] == "A"
