@@ -46,15 +46,31 @@ _SHAPES = {"embed": (VOCAB + 1, DIM), "scale": (2 * WINDOW, DIM), "shift": (DIM,
 _SIZE = sum(int(np.prod(s)) for s in _SHAPES.values())
 
 
-def _normalised(logits: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """Softmax of each row of ``logits`` + ``bias``, in place. Hidden values lie in -1 to 1, so the largest logit of a batch shifts all rows safely."""
+def _shifted(logits: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """``logits`` + ``bias`` less their largest, in place. Hidden values lie in -1 to 1, so the largest logit of a batch shifts all rows safely."""
     logits += bias
     logits -= logits.max()
-    np.exp(logits, out=logits)
-    logits *= (np.float32(1) / np.maximum(logits @ np.ones(logits.shape[1], logits.dtype), np.float32(1e-30)))[:, None]
     return logits
 
 
+def _row_sums(powers: np.ndarray) -> np.ndarray:
+    return np.maximum(powers @ np.ones(powers.shape[1], powers.dtype), np.float32(1e-30))
+
+
+def _error(logits: np.ndarray, bias: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """(Softmax of each row of ``logits`` + ``bias``, less 1 at the ``right`` place) / ``n``, in place."""
+    np.exp(_shifted(logits, bias), out=logits)
+    logits *= (np.float32(1 / n) / _row_sums(logits))[:, None]
+    logits[np.arange(len(right)), right] -= np.float32(1 / n)
+    return logits
+
+
+def _logs(logits: np.ndarray, bias: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Logarithm of each row's softmax at the ``right`` place."""
+    own = _shifted(logits, bias)[np.arange(len(right)), right]
+    return own - np.log(_row_sums(np.exp(logits, out=logits)))
+
+
 class Network:
     """Weights as views of one flat float32 vector."""
 
@@ -82,74 +98,90 @@ class Network:
             h += seen[j] * self.scale[j]
         return np.tanh(h, out=h)
 
-    def _softmax(self, h: np.ndarray, classes: np.ndarray):
-        """Class probabilities, and for each class met: (its rows, probabilities within it)."""
-        a = _normalised(h @ self.class_w.T, self.class_b)
-        order = np.argsort(classes.astype(np.uint8), kind="stable")
-        ends = np.searchsorted(classes[order], np.arange(CLASSES + 1))
-        inner = []
-        for c in range(CLASSES):
-            rows = order[ends[c] : ends[c + 1]]
-            if len(rows):
-                inner.append((c, rows, _normalised(h[rows] @ self.word_w[c].T, self.word_b[c])))
-        return a, inner
+    @staticmethod
+    def _by_class(target: np.ndarray):
+        """An order of the positions in which classes lie one after another, and (class, first, end) of those met."""
+        order = np.argsort(target.astype(np.uint16), kind="stable")
+        ends = np.searchsorted(target[order], np.arange(CLASSES + 1) * IN_CLASS).tolist()
+        return order, [(c, lo, hi) for c, (lo, hi) in enumerate(zip(ends[:-1], ends[1:])) if lo < hi]
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        classes, within = target // IN_CLASS, target % IN_CLASS
-        a, inner = self._softmax(self.hidden([self.embed[context[:, j]] for j in range(2 * WINDOW)]), classes)
-        p = a[np.arange(len(target)), classes]
-        for _, rows, q in inner:
-            p[rows] *= q[np.arange(len(rows)), within[rows]]
-        return np.log(np.maximum(p, 1e-30))
+        order, spans = self._by_class(target)
+        classes, within = np.divmod(target[order], IN_CLASS)
+        h = self.hidden([self.embed.take(context[:, j][order], axis=0) for j in range(2 * WINDOW)])
+        logs = _logs(h @ self.class_w.T, self.class_b, classes)
+        for c, lo, hi in spans:
+            logs[lo:hi] += _logs(h[lo:hi] @ self.word_w[c].T, self.word_b[c], within[lo:hi])
+        out = np.empty_like(logs)
+        out[order] = np.maximum(logs, np.log(1e-30).astype(logs.dtype))
+        return out
 
     def gradient(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Of the mean negative log-probability."""
         n = len(target)
         g = Network(np.zeros(_SIZE, np.float32))
-        classes, within = target // IN_CLASS, target % IN_CLASS
-        seen = [self.embed[context[:, j]] for j in range(2 * WINDOW)]
+        order, spans = self._by_class(target)
+        classes, within = np.divmod(target[order], IN_CLASS)
+        sides = [context[:, j][order] for j in range(2 * WINDOW)]
+        seen = [self.embed.take(side, axis=0) for side in sides]
         h = self.hidden(seen)
-        a, inner = self._softmax(h, classes)
-        a[np.arange(n), classes] -= 1
-        a /= n
-        g.class_w[:], g.class_b[:] = a.T @ h, a.sum(0)
+        a = _error(h @ self.class_w.T, self.class_b, classes, n)
+        one = np.ones(n, a.dtype)
+        np.matmul(a.T, h, out=g.class_w)
+        np.matmul(one, a, out=g.class_b)
         dh = a @ self.class_w
-        for c, rows, q in inner:
-            q[np.arange(len(rows)), within[rows]] -= 1
-            q /= n
-            g.word_w[c], g.word_b[c] = q.T @ h[rows], q.sum(0)
-            dh[rows] += q @ self.word_w[c]
-        dh *= 1 - h * h
-        g.shift[:] = dh.sum(0)
-        for j in range(2 * WINDOW):
+        for c, lo, hi in spans:
+            part = h[lo:hi]
+            q = _error(part @ self.word_w[c].T, self.word_b[c], within[lo:hi], n)
+            np.matmul(q.T, part, out=g.word_w[c])
+            np.matmul(one[: hi - lo], q, out=g.word_b[c])
+            dh[lo:hi] += q @ self.word_w[c]
+        h *= h
+        dh *= np.subtract(1, h, out=h)
+        g.shift[:] = one @ dh
+        for j, side in enumerate(sides):
             g.scale[j] = np.einsum("ij,ij->j", dh, seen[j])
-            order = np.argsort(context[:, j].astype(np.uint16), kind="stable")
-            ids = context[order, j]
+            order = np.argsort(side.astype(np.uint16), kind="stable")
+            ids = side[order]
             first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-            g.embed[ids[first]] += np.add.reduceat(dh[order], first, axis=0) * self.scale[j]
+            g.embed[ids[first]] += np.add.reduceat(dh.take(order, axis=0), first, axis=0) * self.scale[j]
         return g.flat
 
     def train(self, batches: Iterator[tuple[np.ndarray, np.ndarray]], rate: float) -> int:
         """AdaGrad over (context, target) batches in place; the number of positions seen."""
-        seen, squares = 0, np.full(_SIZE, 1e-8, np.float32)
+        seen, squares, step = 0, np.full(_SIZE, 1e-8, np.float32), np.empty(_SIZE, np.float32)
         for context, target in batches:
             g = self.gradient(context, target)
-            squares += g * g
-            self.flat -= rate * g / np.sqrt(squares)
+            np.multiply(g, g, out=step)
+            squares += step
+            np.sqrt(squares, out=step)
+            np.divide(g, step, out=step)
+            step *= np.float32(rate)
+            self.flat -= step
             seen += len(target)
         return seen
 
 
+def widened(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of a run of texts with PAD around each text, and where each token lies there; ``first``: where each text begins, and the end."""
+    place = np.arange(len(ids)) + WINDOW * np.repeat(np.arange(1, len(first)), np.diff(first))
+    wide = np.full(len(ids) + WINDOW * len(first), PAD, np.int64)
+    wide[place] = ids
+    return wide, place
+
+
+def around(wide: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Neighbours of places of ``wide``, one column for each place of the window."""
+    out = np.empty((2 * WINDOW, len(at)), np.int64)
+    for j, d in enumerate([*range(-WINDOW, 0), *range(1, WINDOW + 1)]):
+        np.take(wide, at + d, out=out[j], mode="clip")
+    return out.T
+
+
 def contexts(ids: np.ndarray, first: np.ndarray, positions: np.ndarray) -> np.ndarray:
     """Neighbours of the positions of a run of texts; ``first``: where each text begins, and the end. Outside a text there is PAD."""
-    text = np.searchsorted(first, positions, "right") - 1
-    low, high = first[text], first[text + 1]
-    out = np.empty((len(positions), 2 * WINDOW), np.int64)
-    for j, d in enumerate([*range(-WINDOW, 0), *range(1, WINDOW + 1)]):
-        at = positions + d
-        inside = (at >= low) & (at < high)
-        out[:, j] = np.where(inside, np.take(ids, at, mode="clip"), PAD)
-    return out
+    wide, place = widened(ids, first)
+    return around(wide, place[positions])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,12 +318,13 @@ def _train(flat: np.ndarray, turn: int, turns: int, lanes: int, rate: float, ste
 
         def positions():
             for count, (_, ids, first) in enumerate(_runs(batches)):
+                wide, place = widened(ids, first)
                 rng = np.random.default_rng([seed, count])
                 pick = np.flatnonzero(rng.integers(0, turns, len(ids)) == turn)
                 rng.shuffle(pick)
                 for lo in range(0, len(pick), step):
                     at = pick[lo : lo + step]
-                    yield contexts(ids, first, at), ids[at]
+                    yield around(wide, place[at]), ids[at]
 
         seen = net.train(positions(), rate)
         if seen:
@@ -331,10 +364,9 @@ def _score(flat: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network(flat)
         for rows, ids, first in _runs(batches):
-            logs = np.empty(len(ids), np.float64)
+            logs, (wide, place) = np.empty(len(ids), np.float64), widened(ids, first)
             for lo in range(0, len(ids), BATCH):
-                at = np.arange(lo, min(lo + BATCH, len(ids)))
-                logs[at] = net.log_probabilities(contexts(ids, first, at), ids[at])
+                logs[lo : lo + BATCH] = net.log_probabilities(around(wide, place[lo : lo + BATCH]), ids[lo : lo + BATCH])
             sums = np.r_[0, np.cumsum(logs)]
             yield pa.RecordBatch.from_arrays([rows, pa.array(np.diff(first)), pa.array(sums[first[1:]] - sums[first[:-1]])], names=["row", "n_tokens", "tokens_log"])
 

@@ -1,3 +1,5 @@
+from types import SimpleNamespace
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -135,3 +137,23 @@ def test_every_position_is_trained_once(spark, monkeypatch):
     out = Q.op2_masked_pseudo_likelihood(spark, d)
     assert out.where("n_tokens > 0").agg(F.max("pseudo_log_likelihood")).first()[0] < 0
     assert seen[0][0] == seen[0][1]
+
+
+def test_steps_share_a_runs_layout(monkeypatch):
+    """A run of texts is laid out once for all its steps; every step meets its positions' own neighbours, in any order."""
+    rng, layouts, met = np.random.default_rng(6), [], []
+    texts = [rng.integers(0, M.VOCAB, n) for n in (40, 0, 1, 2, 700)]
+    ids, first = np.concatenate(texts), np.cumsum([0, *map(len, texts)])
+    widened, around = M.widened, M.around
+    monkeypatch.setattr(M, "widened", lambda *a: layouts.append(widened(*a)) or layouts[-1])
+    monkeypatch.setattr(M, "around", lambda *a: met.append(around(*a)) or met[-1])
+    monkeypatch.setattr(M.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array([t.astype("<u2").tobytes() for t in texts], pa.binary())], names=["row", "ids"])
+    net = M.Network.fresh(rng.integers(0, 1000, M.VOCAB))
+    sent = list(M._train(net.flat, 0, 1, 4, 0.05, 50, 3)([batch]))
+    assert sent[0].column(2)[0].as_py() == len(ids) and len(layouts) == 1 and len(met) == -(-len(ids) // 50)
+    p = [M.PAD] * M.WINDOW
+    want = [tuple(np.r_[p, t, p][[i, i + 1, i + 3, i + 4]]) for t in texts for i in range(len(t))]
+    assert sorted(map(tuple, np.concatenate(met).tolist())) == sorted(want)
+    mixed, context = rng.permutation(len(ids)), M.contexts(ids, first, np.arange(len(ids)))
+    assert net.log_probabilities(context[mixed], ids[mixed]) == pytest.approx(net.log_probabilities(context, ids)[mixed], abs=1e-4)
