@@ -32,6 +32,8 @@ LOW = np.uint64(1 << 31)
 LANES = 512
 BLOCK_TOKENS = 1 << 18
 CHECK_STEPS = 128
+#: Words whose ids a worker keeps: about 100 bytes each. This query has the memory; stages of a pipeline keep fewer.
+CACHE_WORDS = 600_000
 _HEAD = struct.Struct("<4sHHIIIIIII")  # magic, version, lanes, tokens, documents, words, checkpoints, table crc, ids crc, stream crc
 _W = np.uint64(32)
 _B = np.uint64(BITS)
@@ -244,7 +246,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str | None = N
     """
     own = tokenizer_path or default_path()
     width = 2 if narrow_ids(own, end_id) else 4
-    tokens = materialise(token_table(docs, own, end_id, id_col, text_col, width).select("doc_id", "ids"), "rans-tokens")
+    tokens = materialise(token_table(docs, own, end_id, id_col, text_col, width, CACHE_WORDS).select("doc_id", "ids"), "rans-tokens")
     counts = tokens.select("ids").mapInArrow(_count(width), "id long, count long").groupBy("id").agg(F.sum("count").alias("count"))
     seen = counts.toPandas()  # as many rows as the vocabulary at most
     table = Table.scaled(seen["id"].to_numpy(np.int64), seen["count"].to_numpy(np.int64)) if len(seen) else Table(np.zeros(0, np.int64), np.zeros(0, np.int64))

@@ -1,10 +1,13 @@
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from attesta.llm import packing, rans
+from attesta.llm._arrow import text_slices
 from attesta.llm.tokenize import WordTokenizer, default_path
 
 
@@ -22,6 +25,33 @@ def test_same_ids_as_the_library(spark, whole):
         assert np.frombuffer(own.ids(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text[:80]
 
 
+def test_slices_give_the_librarys_ids(spark, whole):
+    """Words found by bytes, over several texts at once, and words asked for once a slice."""
+    own = WordTokenizer(default_path())
+    texts = ["", " ", "don't STOP we'll'S ''s 's", "rock 'n' roll", "a1b22 3.5%", "É ÀÏ ß ÿ ×÷", "Àé1Ñ-ñ.", "x <|endoftext|> y", "a < | b <|", "é   漢字 \U0001f600", "\x0b\x0c\r\n tab\t", "Straße İstanbul ΑΣ", "µ ª", "a\x7fb\x00c", "end'", "s it", None, "Z", "\u00a0x\u2003y", "e\u0301"]
+    rng = np.random.default_rng(8)
+    signs = list("aBz09 \t\n.,'<|-_ÀñßÿÇ") + ["'s", "'LL", "×", "漢", "  "]
+    texts += ["".join(rng.choice(signs[: len(signs) - 5 * (k % 2)], rng.integers(0, 30))) for k in range(3000)]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    for limit in (50, 1 << 20):
+        got = [x for _, _, data, offsets in text_slices(pa.array(texts), limit) for x in own.ids_of_slice(data, offsets)]
+        assert len(got) == len(texts)
+        for text, ids in zip(texts, got):
+            assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text or "", add_special_tokens=False).ids, text[:80]
+
+
+def test_words_met_again_stay(whole):
+    """However many other words pass through a small cache, and with the library's ids all along."""
+    own, asked = WordTokenizer(default_path(), 8), []
+    model = own.words.model
+    own.words.model = SimpleNamespace(tokenize=lambda word: asked.append(word) or model.tokenize(word))
+    for k in range(60):
+        text = f"often {'abcdefghijkl'[k % 12] * (k // 12 + 1)}q é{'uvwxyz'[k % 6]}"
+        assert np.frombuffer(own.ids(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+        assert len(own.words) + len(own.words.older) <= 8
+    assert asked.count("often") == 1 and len(asked) > 60
+
+
 def test_packing_is_exact(spark, documents, whole):
     got = packing.pack(documents, window=512).collect()
     pieces = {}
